@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sylva.llm.mixing import mix_plan
+from sylva.llm import pii, secrets
 from sylva.llm.packing import pack
+from sylva.llm.spans import count_of, joined, of_kinds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +23,20 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_mix": op5_mix, "op10_pack": op10_pack}
+def _span_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    base = F.sha2(joined(of_kinds(F.col("spans"), kinds)), 256)
+    return found.select("doc_id", *[count_of(F.col("spans"), k).alias(f"n_{k}") for k in kinds], base.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_columns(secrets.secret_spans(table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_columns(pii.personal_spans(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
+
+
+QUERIES = {"op5_mix": op5_mix, "op7_secrets": op7_secrets, "op9_pii": op9_pii, "op10_pack": op10_pack}
 
 OP5_SQL = r"""
 WITH docs AS (
