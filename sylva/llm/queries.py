@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.mixing import mix_plan
-from sylva.llm import pii, secrets
+from sylva.llm import ann, pii, secrets, warc
 from sylva.llm.packing import pack
 from sylva.llm.spans import count_of, joined, of_kinds
 
@@ -36,7 +36,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_columns(pii.personal_spans(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
 
-QUERIES = {"op5_mix": op5_mix, "op7_secrets": op7_secrets, "op9_pii": op9_pii, "op10_pack": op10_pack}
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {"op3_ann": op3_ann, "op5_mix": op5_mix, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_pack": op10_pack}
 
 OP5_SQL = r"""
 WITH docs AS (
@@ -70,4 +79,13 @@ SELECT doc_id, size, source_size, target, source,
 FROM running
 """
 
-ORACLE_SQL = {"op5_mix": OP5_SQL}
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, count(*) OVER (PARTITION BY payload_digest) AS n FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND n > 1 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND n > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM g
+"""
+
+ORACLE_SQL = {"op5_mix": OP5_SQL, "op8_warc": OP8_SQL}
