@@ -115,8 +115,9 @@ def kth_largest(keys: DataFrame, k: int, unit: float = 1e-6) -> float:
     return (bucket - 0.5) * unit
 
 
-def _calibrated(keys: list[tuple[float, int]]) -> float:
-    """The threshold at which the shares of good documents kept and of bad ones rejected sum to most; -inf without both."""
+def _calibrated(keys: list[tuple[float, int]], good_weight: float = 3.0) -> float:
+    """The threshold with the largest sum of the share of bad documents rejected and, ``good_weight``
+    times, of good ones kept: to lose a good document costs more. -inf without both kinds."""
     good, bad = sorted(x for x, q in keys if q), sorted(x for x, q in keys if not q)
     if not good or not bad:
         return float("-inf")
@@ -124,7 +125,7 @@ def _calibrated(keys: list[tuple[float, int]]) -> float:
     cuts = np.concatenate([[values[0] - 1], (values[:-1] + values[1:]) / 2])
     kept = 1 - np.searchsorted(good, cuts) / len(good)
     gone = np.searchsorted(bad, cuts) / len(bad)
-    return float(cuts[np.argmax(kept + gone)])
+    return float(cuts[np.argmax(good_weight * kept + gone)])
 
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled_rows: int = LABELLED_ROWS, buckets: int = BUCKETS, seed: int = 11) -> DataFrame:
