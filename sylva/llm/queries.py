@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.mixing import mix_plan
-from sylva.llm import ann, pii, quality, secrets, warc
+from sylva.llm import ann, jaccard, pii, quality, secrets, warc
 from sylva.llm.packing import pack
 from sylva.llm.spans import count_of, joined, of_kinds
 
@@ -41,6 +41,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return kept.select("doc_id", "log_weight", "key")
@@ -50,7 +54,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op3_ann": op3_ann, "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_pack": op10_pack}
+QUERIES = {"op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_pack": op10_pack}
 
 OP5_SQL = r"""
 WITH docs AS (
