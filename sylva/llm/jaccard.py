@@ -337,3 +337,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     # Copies of one text may be a third of all rows: classes of one document, most of them, need no join.
     out = sets.select("doc_id", "node", "n_shingles").join(labels.select("node", "component_id"), "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The documents without those that a smaller doc_id of their component stands for, with all columns.
+
+    Of rows that repeat a doc_id one stays. Rows without doc_id and documents without words stay.
+    """
+    labels = staged(near_duplicates(docs, width), "jaccard-labels")
+    gone = staged(labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    few = gone.count() <= BROADCAST_NODES
+    kept = docs.join(F.broadcast(gone) if few else gone, docs.doc_id == F.col("_gone"), "left_anti")
+    if labels.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

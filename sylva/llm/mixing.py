@@ -94,26 +94,42 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[i
     its hash and divide what is left by their sizes. Null texts and texts without words have
     size 0 and are taken with 0 words. No row is lost; an empty table gives an empty table.
     """
-    sizes = staged(docs.select("doc_id", "source", n_words("text").alias("size"), document_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
-    plan = staged(thresholds(sizes, staged(source_targets(sizes, weights, share, most), "mix-targets")), "mix-plan").withColumnRenamed("source", "of")
-    # One row per source. Its measured size decides whether Spark broadcasts it; else a skew join.
-    rows = sizes.join(plan, sizes.source.eqNullSafe(plan["of"]))
+    sizes = staged(_sized(docs).select("doc_id", "source", "size", "hash"), "mix-sizes")
+    return _taken(sizes, _source_plan(sizes, weights, share, most), cut_boundary).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"size": n_words(docs.text), "hash": document_hash(docs.doc_id)})
+
+
+def _source_plan(sizes: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int) -> DataFrame:
+    return staged(thresholds(sizes, staged(source_targets(sizes, weights, share, most), "mix-targets")), "mix-plan").withColumnRenamed("source", "of")
+
+
+def _taken(rows: DataFrame, plan: DataFrame, cut_boundary: bool) -> DataFrame:
+    """The rows (source, size, hash and more) with source_size, target and taken.
+
+    The plan has one row per source. Its measured size decides whether Spark broadcasts it, or else
+    joins by source, where it splits a hot one."""
+    rows = rows.join(plan, rows.source.eqNullSafe(plan["of"]))
     exact = "decimal(38,0)"
     part = F.floor(F.col("remains").cast(exact) * F.col("size").cast(exact) / F.col("at_words").cast(exact)).cast("long")
     edge = part if cut_boundary else F.when(F.col("remains") * 2 >= F.col("at_words"), F.col("size")).otherwise(0)
     extra = F.when(F.col("hash") < F.col("at_hash"), F.col("size")).when((F.col("hash") == F.col("at_hash")) & (F.col("at_words") > 0), edge).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("base") * F.col("size") + extra).cast("long").alias("taken"))
+    return rows.withColumn("taken", (F.col("base") * F.col("size") + extra).cast("long"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """The documents of the mix, each as often as it is taken, whole and with all its columns.
 
-    Rows are found again by doc_id; rows with the same doc_id and size are taken alike.
-    Documents without words are kept once, as they cost nothing.
+    The document at a threshold is taken once more where that comes nearer to the target.
+    Documents without words are kept once, as they cost nothing. Texts aren't shuffled unless the table
+    of sources is too large to broadcast.
     """
-    plan = mix_plan(docs, cut_boundary=False, **options)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    copies = plan.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), copies.alias("mix_copies")).distinct()
-    on = docs.doc_id.eqNullSafe(F.col("mix_id")) & docs.source.eqNullSafe(F.col("mix_source")) & (n_words(docs.text) == F.col("mix_size"))
-    out = docs.join(copies.filter("mix_copies > 0"), on)
-    return out.withColumn("mix_nth", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+    sizes = staged(_sized(docs).select("doc_id", "source", "size", "hash"), "mix-sizes")
+    plan = _source_plan(sizes, weights, share, most)
+    # The documents' own columns travel in one, so that none clashes.
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), docs.source.alias("source"), n_words(docs.text).alias("size"), document_hash(docs.doc_id).alias("hash"))
+    copies = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(1))
+    out = _taken(rows, plan, cut_boundary=False).withColumn("copies", copies.cast("int")).filter("copies > 0")
+    return out.select("_doc", F.explode(F.expr("sequence(1, copies)"))).select("_doc.*")
