@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva.llm.common import new_folder, staged
 from sylva.llm.mixing import mix_plan
 from sylva.llm import ann, jaccard, pii, quality, secrets, warc
 from sylva.llm.packing import pack
+from sylva.llm.rollup import VERSIONS, TokenRollup, revised, signed
 from sylva.llm.spans import count_of, joined, of_kinds
 
 
@@ -36,6 +38,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_columns(pii.personal_spans(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, English ones are counted anew by another tokenizer version, and those of
+    under 20 words are deleted; two batches are delivered twice, and a snapshot is taken between."""
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.select("source", "lang", *[count(F.col("text")).alias(version) for version, count in VERSIONS.items()])
+    counts = staged(counts, "rollup-counts")
+    english, short = F.coalesce(F.col("lang") == "en", F.lit(False)), F.col("words-1") < 20
+    recount = revised(counts.filter(english), ("words-1", "words-1"), ("marks-1", "marks-1"))
+    delete = signed(counts.filter(short & ~english), "words-1", "words-1", -1).unionByName(signed(counts.filter(short & english), "marks-1", "marks-1", -1))
+    rollup = TokenRollup(spark, new_folder(spark, "rollup"))
+    for batch, changes in (("load", signed(counts, "words-1", "words-1", 1)), ("recount", recount), ("load", signed(counts, "words-1", "words-1", 1))):
+        rollup.apply(batch, changes)
+    rollup.compact()
+    for batch, changes in (("recount", recount), ("delete", delete)):
+        rollup.apply(batch, changes)
+    return rollup.totals()
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -54,7 +74,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_pack": op10_pack}
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_pack": op10_pack}
 
 OP5_SQL = r"""
 WITH docs AS (
@@ -97,4 +117,14 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
-ORACLE_SQL = {"op5_mix": OP5_SQL, "op8_warc": OP8_SQL}
+OP1_SQL = r"""
+WITH c AS (
+  SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS words,
+         coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), 0)::BIGINT AS marks
+  FROM documents)
+SELECT source, lang, CASE WHEN lang = 'en' THEN 'marks-1' ELSE 'words-1' END AS version, count(*)::BIGINT AS documents,
+       sum(CASE WHEN lang = 'en' THEN marks ELSE words END)::BIGINT AS tokens
+FROM c WHERE words >= 20 GROUP BY ALL HAVING documents <> 0 OR tokens <> 0
+"""
+
+ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op5_mix": OP5_SQL, "op8_warc": OP8_SQL}
