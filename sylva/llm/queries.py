@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm.common import new_folder, staged
 from sylva.llm.mixing import mix_plan
-from sylva.llm import ann, jaccard, pii, quality, secrets, warc
+from sylva.llm import ann, jaccard, media, pii, quality, secrets, warc
 from sylva.llm.packing import pack
 from sylva.llm.rollup import VERSIONS, TokenRollup, revised, signed
 from sylva.llm.spans import count_of, joined, of_kinds
@@ -56,6 +56,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation, voiced, is a recording; those of every twentieth conversation are looked up among all."""
+    asked = F.coalesce(F.col("conv_id") % 20 == 0, F.lit(False))
+    return media.aligned(table(spark, sf_dir, "conversations"), asked, ("conv_id", "turn"), "text", media.voiced_frames)
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -74,7 +80,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_pack": op10_pack}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_chroma": op2_chroma, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_pii": op9_pii, "op10_pack": op10_pack}
 
 OP5_SQL = r"""
 WITH docs AS (
