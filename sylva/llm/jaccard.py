@@ -1,10 +1,12 @@
 """Near-duplicate join by the Jaccard similarity of word shingles, exact, with parity sketches.
 
-A sketch has a bit for every hash value; each shingle flips one. Two sketches differ in no more bits
-than the sets differ in elements. Sets of n and up to n / 0.8 elements that are similar to 0.8
-differ in floor(n / 4) at most. So, of the 64-bit blocks of their sketches, no more blocks
+A parity sketch has a bit for every hash value, and each shingle flips one: two sketches differ in
+no more bits than the sets differ in elements. Sets of n and up to n / 0.8 elements that are similar
+to 0.8 differ in floor(n / 4) at most. So, of the blocks of their sketches, no more blocks
 differ, and one of the first floor(n / 4) + 1 blocks, in any order that depends on blocks alone, is
-equal: the pigeonhole. The fullest blocks go first, as they say most about a set.
+equal: the pigeonhole. The fullest blocks go first, as they say most about a set. As these blocks
+hold two or three shingles each, their bits are kept as the XOR of the shingles' 64-bit codes:
+equal where the bits of a wide block are.
 
 Blocks are made by size band, so that both sets of a pair have as many. Equal texts are one
 class from the start. Candidates that share a block are first tied to one of them, verified
@@ -39,6 +41,8 @@ CACHED_WORDS, HELD_KEYS = 1 << 20, 1 << 21
 CELL_ROWS = 4_096
 #: Members in a row of a group.
 CHUNK = 4_096
+#: Rounds that tie components to their nearest, before all pairs that are left are compared.
+NEAREST_ROUNDS = 5
 #: Nodes up to which a list of them is broadcast, 16 bytes each; beyond that it is joined.
 BROADCAST_NODES = 1_000_000
 MIX_1, MIX_2, MIX_3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -94,12 +98,12 @@ def block_keys(hashes: np.ndarray) -> np.ndarray:
         if b > band and n * ALIKE[1] < ALIKE[0] << b:
             continue
         m = blocks_of(b)
-        block = ((hashes >> U(32)) * U(m)) >> U(32)
-        words = np.zeros(m, U)
-        np.bitwise_xor.at(words, block.astype(np.int64), U(1) << (hashes & U(63)))
-        bits = np.bitwise_count(words).astype(np.int64)
-        first = np.argsort(-bits, kind="stable")[: differ_at_most(n) + 1]
-        out.append(mixed(words[first] * MIX_1 + mixed(first.astype(U) + U(b << 32))))
+        block = (((hashes >> U(32)) * U(m)) >> U(32)).astype(np.int64)
+        codes = np.zeros(m, U)
+        np.bitwise_xor.at(codes, block, hashes)
+        held = np.bincount(block, minlength=m)
+        first = np.argsort(-held, kind="stable")[: differ_at_most(n) + 1]
+        out.append(mixed(codes[first] * MIX_1 + mixed((first + (held[first] << 24)).astype(U) + U(b << 56))))
     return np.concatenate(out)
 
 
@@ -151,10 +155,10 @@ def document_sets(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def block_groups(sets: DataFrame, tasks: int) -> DataFrame:
-    """Nodes that share a block: key, center (the smallest of all), members (the others, in chunks).
+    """Nodes that share a block: group, center (the smallest of all), members (the others, in chunks).
 
     Keys travel in arrays, by bucket, and each bucket is sorted by itself. Blocks of one node
-    alone, nearly all, end there.
+    alone, nearly all, end there. Blocks of the same nodes are one group, whose number is a hash of them.
     """
     buckets = 4 * tasks
     sent = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("nodes", T.BinaryType())])
@@ -188,13 +192,12 @@ def block_groups(sets: DataFrame, tasks: int) -> DataFrame:
         if keys:
             yield flush()
 
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("center", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("center", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
 
     def group(table: pa.Table) -> pa.Table:
         k = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32)
         v = np.frombuffer(b"".join(table["nodes"].to_pylist()), np.int64)
-        bucket = table["bucket"][0].as_py() if table.num_rows else 0
         order = np.lexsort((v, k))
         k, v = k[order], v[order]
         fresh = np.ones(len(k), bool)
@@ -203,15 +206,20 @@ def block_groups(sets: DataFrame, tasks: int) -> DataFrame:
         start = np.nonzero(np.append(True, k[1:] != k[:-1]))[0]
         end = np.append(start[1:], len(k))
         rows: list[list] = [[], [], []]
+        done = set()
         for s, e in zip(start[end - start > 1], end[end - start > 1]):
+            number = int.from_bytes(blake2b(v[s:e].tobytes(), digest_size=8).digest(), "little", signed=True)
+            if number in done:
+                continue
+            done.add(number)
             for at in range(s + 1, e, CHUNK):
-                rows[0].append((bucket << 32) | int(k[s]))
+                rows[0].append(number)
                 rows[1].append(v[s])
                 rows[2].append(v[at : min(e, at + CHUNK)])
         return pa.Table.from_batches([_batch(rows, arrow)])
 
     dealt = sets.filter("elements is not null").select("node", "elements").mapInArrow(deal, sent)
-    return dealt.groupBy("bucket").applyInArrow(group, schema)
+    return dealt.groupBy("bucket").applyInArrow(group, schema).withColumn("least", F.element_at("members", 1)).dropDuplicates(["group", "least"]).drop("least")
 
 
 def _near(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -242,70 +250,141 @@ def verified(pairs: DataFrame, owners: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, schema)
 
 
-def star_pairs(groups: DataFrame) -> DataFrame:
-    """For each node one other of smaller number, that with which it shares most blocks."""
-    shared = groups.select("center", F.explode("members").alias("node")).groupBy("node", "center").count()
-    return shared.groupBy("node").agg(F.max_by("center", F.struct("count", (-F.col("center")).alias("c"))).alias("center")).select(F.col("node").alias("u"), F.col("center").alias("v"))
-
-
-def remaining_pairs(groups: DataFrame, roots: DataFrame, owners: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a block's nodes in different components whose sketches are near enough."""
-    member = groups.select("key", F.explode("members").alias("node")).union(groups.select("key", F.col("center").alias("node")).distinct())
-    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_keys = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("key", "n")
-    member = staged(member.join(mixed_keys, "key"), "jaccard-open")
-    nodes = staged(member.select("node").distinct().join(owners, "node"), "jaccard-nodes")
-    elements = _near(sets.filter("elements is not null").select("row", "n_shingles", "elements"), "row", nodes.select("row")).join(nodes, "row").select("node", "n_shingles", "elements")
+def grouped_sketches(groups: DataFrame, owners: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sizes and small sketches of the nodes of all groups: node, n, sketch."""
+    nodes = groups.select(F.explode("members").alias("node")).union(groups.select("center")).distinct()
+    nodes = staged(nodes.join(owners, "node"), "jaccard-nodes")
+    elements = _near(sets.filter("elements is not null").select("row", "node", "n_shingles", "elements"), "row", nodes.select("row"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            n = x.column(1).to_pylist()
-            # As many bits for all sets that can be similar: two widths each, by the power of two above the size.
-            bits = [max(64, 2 << max(0, k - 1).bit_length()) for k in n]
-            short = [small_sketch(unpacked(d.as_py()), b) for d, b in zip(x.column(2), bits)]
+            # As many bits as the power of two that holds the set.
+            short = [small_sketch(unpacked(d.as_py()), max(64, 1 << max(0, n - 1).bit_length())) for n, d in zip(x.column(1).to_pylist(), x.column(2))]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(short, pa.binary())], names=["node", "n", "sketch"])
 
-    sketches = staged(elements.mapInArrow(sketch, "node long, n long, sketch binary"), "jaccard-sketches")
-    blocks = F.ceil(F.col("n_key") / CELL_ROWS).cast("int")
-    rows = member.withColumnRenamed("n", "n_key").join(sketches, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return elements.select("node", "n_shingles", "elements").mapInArrow(sketch, "node long, n long, sketch binary")
+
+
+class Sketches:
+    """The sketches of a table's rows, by width, each also folded to half of it."""
+
+    def __init__(self, data: list[bytes]):
+        self.width = np.array([len(d) for d in data], np.int64)
+        self.place = np.zeros(len(data), np.int64)
+        self.whole: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.nonzero(self.width == w)[0]
+            self.place[rows] = np.arange(len(rows))
+            bits = np.frombuffer(b"".join(data[r] for r in rows), np.uint8).reshape(len(rows), w)
+            self.whole[w] = bits.view(np.uint64)
+            if w > 8:
+                self.half[w] = folded(bits).view(np.uint64)
+
+    def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of rows x and y, where y has the width of x or twice that."""
+        out = np.zeros(len(x), np.int64)
+        for w in np.unique(self.width[x]).tolist():
+            for other, wide in ((w, self.whole), (2 * w, self.half)):
+                pick = np.nonzero((self.width[x] == w) & (self.width[y] == other))[0]
+                step = max(1, (1 << 24) // w)
+                for at in range(0, len(pick), step):
+                    p = pick[at : at + step]
+                    out[p] = np.bitwise_count(self.whole[w][self.place[x[p]]] ^ wide[other][self.place[y[p]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def near_enough(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m can be similar when their sketches differ in so many bits."""
+    return distance * (ALIKE[1] + ALIKE[0]) <= (n + m) * (ALIKE[1] - ALIKE[0])
+
+
+def star_pairs(groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """For each node the smaller one with which it shares most groups, if their sketches are near enough."""
+    shared = groups.select("center", F.explode("members").alias("node")).groupBy("node", "center").count()
+    stars = shared.groupBy("node").agg(F.max_by("center", F.struct("count", (-F.col("center")).alias("c"))).alias("v")).withColumnRenamed("node", "u")
+    stars = stars.join(sketches.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u")), "u")
+    stars = stars.join(sketches.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v")), "v")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n, m = t.column(2).to_numpy(), t.column(4).to_numpy()
+            both = Sketches([*t.column(3).to_pylist(), *t.column(5).to_pylist()])
+            i, j = np.arange(len(n)), np.arange(len(n)) + len(n)
+            x, y = np.where(n <= m, i, j), np.where(n <= m, j, i)
+            ok = (np.minimum(n, m) * ALIKE[1] >= np.maximum(n, m) * ALIKE[0]) & near_enough(n, m, both.distances(x, y))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["u", "v"]).filter(pa.array(ok))
+
+    return stars.select("u", "v", "n_u", "s_u", "n_v", "s_v").mapInArrow(check, "u long, v long")
+
+
+def remaining_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of a group's nodes in different components whose sketches are near enough; or only
+    that with the nearest sketches of each component."""
+    member = groups.select("group", F.explode("members").alias("node")).union(groups.select("group", F.col("center").alias("node")).distinct())
+    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    divided = member.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("held")).filter("a <> b").select("group", "held")
+    member = staged(member.join(divided, "group"), "jaccard-open")
     # A large group is compared block by block: a row meets its own block and every other once.
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch")
+    rows = member.join(sketches, "node").withColumn("blocks", F.ceil(F.col("held") / CELL_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cell = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(cell.alias("cell"), F.when(F.col("blocks") > 1, F.col("own") != F.col("other")).otherwise(False).alias("across"), "own", "node", "root", "n", "sketch")
+    # Small groups are many: each task call compares those of a bucket together.
+    buckets = max(1, member.count() // (4 * CELL_ROWS))
 
     def compare(table: pa.Table) -> pa.Table:
-        node, root, n, own = (table[c].to_numpy() for c in ("node", "root", "n", "own"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        order = np.argsort(n, kind="stable")
-        node, root, n, own = node[order], root[order], n[order], own[order]
-        data = table["sketch"].to_pylist()
-        data = [data[x] for x in order]
-        us, vs = [], []
-        # By width: sets of one width, and each width against the next, folded to the smaller.
-        width = np.array([len(d) for d in data])
-        for w in np.unique(width):
-            here, wider = np.nonzero(width == w)[0], np.nonzero(width == 2 * w)[0]
-            a = np.frombuffer(b"".join(data[x] for x in here), np.uint64).reshape(len(here), -1)
-            b = np.zeros((len(wider), w // 8), np.uint64)
-            if len(wider):
-                b = folded(np.frombuffer(b"".join(data[x] for x in wider), np.uint8).reshape(len(wider), -1)).view(np.uint64)
-            ids, all_ = np.concatenate([here, wider]), np.concatenate([a, b])
-            for p, at in enumerate(here):
-                # Larger ones only, up to the largest similar size.
-                end = np.searchsorted(n[ids], n[at] * ALIKE[1] // ALIKE[0], side="right")
-                to = ids[p + 1 : end]
-                pick = root[to] != root[at]
-                if i != j:
-                    pick &= own[to] != own[at]
-                pick = np.nonzero(pick)[0]
-                if not len(pick):
-                    continue
-                distance = np.bitwise_count(all_[p + 1 : end][pick] ^ a[p]).sum(axis=1, dtype=np.int64)
-                most = (n[at] + n[to[pick]]) * (ALIKE[1] - ALIKE[0]) // (ALIKE[1] + ALIKE[0])
-                for x in to[pick[distance <= most]]:
-                    us.append(max(node[at], node[x]))
-                    vs.append(min(node[at], node[x]))
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+        cell, node, root, n, own = (table[c].to_numpy() for c in ("cell", "node", "root", "n", "own"))
+        order = np.lexsort((n, cell))
+        cell, node, root, n, own = cell[order], node[order], root[order], n[order], own[order]
+        across = np.array(table["across"].to_pylist(), bool)[order]
+        sketch = table["sketch"].take(pa.array(order)).to_pylist()
+        known = Sketches(sketch)
+        start = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0]
+        end = np.repeat(np.append(start[1:], len(cell)), np.diff(np.append(start, len(cell))))
+        # A cell of two blocks compares these with each other only.
+        two = np.repeat(np.logical_or.reduceat(across, start), np.diff(np.append(start, len(cell))))
+        alive, step, held = np.arange(len(cell)), 0, 0
+        found: list[np.ndarray] = []
+
+        def reduced() -> np.ndarray:
+            """Distinct columns (root, u, v, distance): for all pairs once, or for each root its nearest."""
+            x, y, d = np.concatenate(found, axis=1)
+            u, v = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+            if not nearest:
+                _, once = np.unique(np.stack([u, v]), axis=1, return_index=True)
+                return np.stack([x, y, d])[:, once]
+            side, to = np.concatenate([root[x], root[y]]), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((v[to], u[to], d[to], side))
+            first = order[np.append(True, side[order][1:] != side[order][:-1])]
+            return np.stack([x, y, d])[:, np.unique(to[first])]
+
+        while len(alive):
+            step += 1
+            alive = alive[alive + step < end[alive]]
+            # By size: once the next is too large, all after it are.
+            alive = alive[n[alive + step] * ALIKE[0] <= n[alive] * ALIKE[1]]
+            x, y = alive, alive + step
+            pick = (root[x] != root[y]) & (~two[x] | (own[x] != own[y]))
+            x, y = x[pick], y[pick]
+            distance = known.distances(x, y)
+            ok = near_enough(n[x], n[y], distance)
+            if ok.any():
+                found.append(np.stack([x[ok], y[ok], distance[ok]]))
+                held += int(ok.sum())
+                if held > 1 << 20:
+                    found = [reduced()]
+                    held = 0
+        x, y, d = reduced() if found else np.zeros((3, 0), np.int64)
+        columns = (root[x], root[y], np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), d)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["root_x", "root_y", "u", "v", "distance"])
+
+    pairs = rows.groupBy(F.pmod("cell", F.lit(buckets))).applyInArrow(compare, "root_x long, root_y long, u long, v long, distance long")
+    if not nearest:
+        return pairs.select("u", "v").distinct()
+    sides = pairs.select(F.explode(F.array("root_x", "root_y")).alias("root"), "u", "v", "distance")
+    best = F.min_by(F.struct("u", "v"), F.struct("distance", "u", "v"))
+    return sides.groupBy("root").agg(best.alias("best")).select("best.u", "best.v").distinct()
 
 
 def folded(bits: np.ndarray) -> np.ndarray:
@@ -327,10 +406,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     sets = staged(document_sets(docs, width), "jaccard-sets")
     owners = staged(sets.filter("elements is not null").groupBy("node").agg(F.min("row").alias("row")), "jaccard-owners")
     groups = staged(block_groups(sets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "jaccard-groups")
-    stars = staged(verified(staged(star_pairs(groups), "jaccard-stars"), owners, sets), "jaccard-links")
-    roots = staged(connected_components(stars), "jaccard-roots")
-    more = staged(verified(staged(remaining_pairs(groups, roots, owners, sets), "jaccard-pairs"), owners, sets), "jaccard-more")
-    roots = staged(connected_components(stars.union(more)), "jaccard-roots")
+    sketches = staged(grouped_sketches(groups, owners, sets), "jaccard-sketches")
+    stars = staged(verified(staged(star_pairs(groups, sketches), "jaccard-stars"), owners, sets), "jaccard-links")
+    links, more = stars, True
+    # Each component is tied to its nearest one while that brings links, which leaves few of a large group's pairs.
+    for _ in range(NEAREST_ROUNDS):
+        roots = staged(connected_components(links), "jaccard-roots")
+        pairs = staged(remaining_pairs(groups, roots, sketches, nearest=True), "jaccard-pairs")
+        if not (more := not pairs.isEmpty()):
+            break
+        new = staged(verified(pairs, owners, sets), "jaccard-more")
+        links = links.union(new)
+        if new.count() * 10 < pairs.count():
+            break
+    # Pairs that were nearest and not similar may hide others: all that are left are compared.
+    if more:
+        roots = staged(connected_components(links), "jaccard-roots")
+        pairs = staged(remaining_pairs(groups, roots, sketches, nearest=False), "jaccard-pairs")
+        links = links.union(staged(verified(pairs, owners, sets), "jaccard-more"))
+        roots = staged(connected_components(links), "jaccard-roots")
     smallest = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     smallest = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = smallest.groupBy("root").agg(F.min("least").alias("component_id")).join(smallest.select("node", "root"), "root")
