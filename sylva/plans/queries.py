@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylva.functions.paths import FILE, components, nanos_of, parent_of, seconds_of
+from sylva.frames import FORMATS
+from sylva.functions.paths import components, nanos_of, seconds_of
 from sylva.operators import documents, parts
 from sylva.operators import tree as t
 from sylva.operators.cut import with_parts
-from sylva.operators.staging import staged
+from sylva.operators.staging import shared_dir, staged
 from sylva.plans.trees import parts_sql, tree, tree_sql
+from sylva.sources.filesystem import scan
+from sylva.sources.manifest import frames, read_manifest, unframed, write_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,8 +64,6 @@ def walk_order(spark: SparkSession, d: str) -> DataFrame:
     """Each path with the one before it in walk order; a range sort, numbered across its partitions' edges."""
     rows = t.in_walk_order(tree("event", spark, d).select("path", "comps"))
     ranged = staged(rows.withColumn("_part", F.spark_partition_id()), "order")
-    from pyspark.sql import Window
-
     inside = Window.partitionBy("_part").orderBy("comps")
     last = ranged.groupBy("_part").agg(F.max_by("path", "comps").alias("last"))
     last = last.withColumn("edge", F.lag("last").over(Window.orderBy("_part"))).select("_part", "edge")  # one row per partition
@@ -219,3 +221,51 @@ def index_json(spark: SparkSession, d: str) -> DataFrame:
     read = documents.index_document(index).select(F.from_json("document", schema).alias("d"))
     rows = read.select(F.posexplode(F.arrays_zip(*[F.col(f"d.parts.{c}").alias(c) for c in documents.INDEX_COLUMNS])))
     return rows.select(F.col("pos").cast("long").alias("part_no"), "col.first", "col.directories", "col.files", "col.symlinks")
+
+
+def _framed(spark: SparkSession, d: str, format: str) -> DataFrame:
+    made = documents.part_documents(_numbered("doc", 4000)(spark, d))
+    return staged(frames(made, FORMATS[format]), "frames")
+
+
+@query("zstd_roundtrip", f"WITH RECURSIVE {parts_sql('doc', 4000)}, {_NODES} SELECT part_no, kind, parent_id, node_id, name, size FROM ids")
+def zstd_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every part through its compressed frame and back to rows."""
+    return documents.document_rows(unframed(_framed(spark, d, "zstd"), FORMATS["zstd"])).select("part_no", "kind", "parent_id", "node_id", "name", "size")
+
+
+@query("seek_offsets", f"""WITH RECURSIVE {parts_sql("doc", 4000)}, {_NODES}, d AS (
+  SELECT part_no, '{{"stem":' || to_json(any_value(stem)) || ',"directories":{{"parent":' || to_json(coalesce(list(parent_id ORDER BY comps) FILTER (kind = 'directory'), [])) || ',"name":' || to_json(coalesce(list(name ORDER BY comps) FILTER (kind = 'directory'), []))
+    || ',"mode":' || to_json(coalesce(list(mode ORDER BY comps) FILTER (kind = 'directory'), [])) || ',"mtime":' || to_json(coalesce(list(mtime ORDER BY comps) FILTER (kind = 'directory'), [])) || ',"mtime_nanos":' || to_json(coalesce(list(mtime_nanos ORDER BY comps) FILTER (kind = 'directory'), []))
+    || '}},"files":{{"parent":' || to_json(coalesce(list(parent_id ORDER BY comps) FILTER (kind = 'file'), [])) || ',"name":' || to_json(coalesce(list(name ORDER BY comps) FILTER (kind = 'file'), []))
+    || ',"size":' || to_json(coalesce(list(size ORDER BY comps) FILTER (kind = 'file'), [])) || ',"mode":' || to_json(coalesce(list(mode ORDER BY comps) FILTER (kind = 'file'), [])) || ',"mtime":' || to_json(coalesce(list(mtime ORDER BY comps) FILTER (kind = 'file'), []))
+    || ',"mtime_nanos":' || to_json(coalesce(list(mtime_nanos ORDER BY comps) FILTER (kind = 'file'), [])) || '}},"symlinks":{{"parent":[],"name":[],"target":[],"mtime":[],"mtime_nanos":[],"directory":[]}}}}' AS document
+  FROM ids GROUP BY part_no)
+  SELECT part_no AS frame_no, (strlen(document) + 1)::BIGINT AS raw_length, coalesce(sum(strlen(document) + 1) OVER (ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS raw_offset FROM d""")
+def seek_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and offsets of uncompressed frames, down to the byte of each document."""
+    before = Window.orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    return _framed(spark, d, "plain").select("frame_no", "raw_length", F.coalesce(F.sum("raw_length").over(before), F.lit(0)).alias("raw_offset"))
+
+
+@query("manifest_file", f"WITH RECURSIVE {parts_sql('label', 20000)} SELECT part_no, path, kind, size, mode, mtime, mtime_nanos, target FROM parted")
+def manifest_file(spark: SparkSession, d: str) -> DataFrame:
+    """The tree through a file in the shared folder: written in order, read a task per part."""
+    path = f"{shared_dir(spark).removeprefix('file:').replace('//', '/')}/{uuid.uuid4().hex}.manifest"
+    write_manifest(_parted("label", 20000)(spark, d), path)
+    return read_manifest(spark, path).select("part_no", "path", "kind", "size", "mode", "mtime", "mtime_nanos", "target")
+
+
+@query("manifest_lookup", f"""WITH RECURSIVE {parts_sql("label", 4000)} SELECT path, kind FROM parted WHERE path LIKE 'labels/q0/%'""")
+def manifest_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One directory out of a file: the index prunes the parts that are read."""
+    path = f"{shared_dir(spark).removeprefix('file:').replace('//', '/')}/{uuid.uuid4().hex}.manifest"
+    write_manifest(_parted("label", 4000)(spark, d), path, "lz4")
+    return read_manifest(spark, path, "lz4").filter(F.col("path").startswith("labels/q0/")).select("path", "kind")
+
+
+@query("fs_scan")
+def fs_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The table's own folder, as the file system has it."""
+    entries, _ = scan(spark, d, metadata="full", on_error="skip")
+    return entries.select("path", "parent", "name", "depth", "kind", "size", "mode", "mtime", "mtime_nanos", "target")
