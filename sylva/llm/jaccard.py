@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylva.llm.common import staged
+from sylva.llm.common import arrow_rows, staged
 from sylva.llm.components import connected_components
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction, 80 / 100.
 ALIKE = (80, 100)
 #: Distinct words whose hash a worker keeps; keys that a task holds before it passes them on.
-CACHED_WORDS, HELD_KEYS = 1 << 20, 1 << 21
+CACHED_WORDS, HELD_KEYS = 1 << 17, 1 << 19
+#: Texts or sets that go to Python at a time.
+BATCH_ROWS = 1_000
 #: Rows of a block's group that are compared in one task; larger groups are divided.
 CELL_ROWS = 4_096
 #: Members in a row of a group.
@@ -402,6 +404,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     Rows stay, repeated ones too; rows without doc_id have the component of the others of their class, null
     if there are none. Shingles are compared by 48 bits of a 64-bit hash.
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, width)
+
+
+def _components(docs: DataFrame, width: int) -> DataFrame:
     spark = docs.sparkSession
     sets = staged(document_sets(docs, width), "jaccard-sets")
     owners = staged(sets.filter("elements is not null").groupBy("node").agg(F.min("row").alias("row")), "jaccard-owners")
@@ -441,7 +448,7 @@ def deduplicated(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     labels = staged(near_duplicates(docs, width), "jaccard-labels")
     gone = staged(labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
     few = gone.count() <= BROADCAST_NODES
-    kept = docs.join(F.broadcast(gone) if few else gone, docs.doc_id == F.col("_gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone, docs.doc_id == gone["_gone"], "left_anti")
     if labels.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
