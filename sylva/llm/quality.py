@@ -21,7 +21,7 @@ BUCKETS = 1 << 16
 #: Labelled rows that target model and threshold are made from, half each; the smallest hashes.
 LABELLED_ROWS = 20_000
 #: Distinct tokens whose hash a worker keeps.
-CACHED = 1 << 20
+CACHED = 1 << 17
 ODD_1, ODD_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -128,8 +128,9 @@ def _calibrated(keys: list[tuple[float, int]], good_weight: float = 3.0) -> floa
     return float(cuts[np.argmax(good_weight * kept + gone)])
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled_rows: int = LABELLED_ROWS, buckets: int = BUCKETS, seed: int = 11) -> DataFrame:
-    """The documents that importance resampling keeps, with all their columns, ``log_weight`` and ``key``.
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled_rows: int = LABELLED_ROWS, buckets: int = BUCKETS, seed: int = 11, with_keys: bool = True) -> DataFrame:
+    """The documents that importance resampling keeps, with all their columns and, ``with_keys``, also ``log_weight`` and
+    ``key``, which replace columns of those names.
 
     The raw model counts the hashed n-grams of all documents, the target model those of documents
     labelled good (doc_id, quality 0 or 1), of at most ``labelled_rows`` labelled rows. A document's
@@ -145,6 +146,8 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled
     train = frozenset(r.doc_id for r in known[::2] if r.quality == 1)
     held = {r.doc_id: r.quality for r in known[1::2]}
     ratios = log_ratios(bucket_counts(docs, train, buckets), buckets)
+    # The documents' own columns travel in one, so that none clashes.
+    names, docs = docs.columns, docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
     key = gumbel_key(F.col("doc_id"), F.col("log_weight"), seed)
     scored = weighted(docs, ratios).withColumn("key", key)
     if k is not None:
@@ -154,4 +157,7 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled
     else:
         rows = weighted(docs.select("doc_id", "text"), ratios, frozenset(held)).select("doc_id", key.alias("key")).dropDuplicates(["doc_id"]).collect()
         threshold = _calibrated([(r.key, held[r.doc_id]) for r in rows])
-    return scored.filter(F.col("key") >= threshold)
+    scored = scored.filter(F.col("key") >= threshold)
+    if not with_keys:
+        return scored.select("_doc.*")
+    return scored.select(*[F.col("_doc")[c].alias(c) for c in names if c not in ("log_weight", "key")], "log_weight", "key")
