@@ -11,7 +11,7 @@ from sylva.llm.common import staged
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards those labelled good keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.resampled(docs, labels).select(docs.columns)
+    return quality.resampled(docs, labels, with_keys=False)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
