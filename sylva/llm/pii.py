@@ -122,7 +122,7 @@ def _frequencies(docs: DataFrame, only: frozenset[str] | None) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
-def disclosing_terms(docs: DataFrame, window: int = 8, least_contexts: int = 5, least_share: float = 0.9, least_bits: float = 6.0, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, window: int = 8, least_contexts: int = 5, least_share: float = 0.9, least_bits: float = 4.0, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Terms that reveal a protected entity: term, entity, n_contexts, n_docs, share, bits.
 
     Over the whole corpus, ``share`` is the part of a term's documents that show it near the entity

@@ -1,0 +1,44 @@
+"""Each stage of the pipeline against plain code, on its own input, over the smallest tables."""
+
+from __future__ import annotations
+
+import pytest
+from helpers import SMALL
+from test_jaccard import expected
+from test_packing import check as check_packed
+
+pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages(spark):
+    from sylva.llm.common import staged
+    from sylva.llm.mixing import mix_plan
+    from sylva.llm.secrets import base_spans
+
+    assert [n for n, _ in pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, outs = docs.columns, [docs]
+    for name, stage in pipeline.STAGES:
+        outs.append(staged(stage(spark, outs[-1], SMALL), f"test-{name}"))
+    first, good, distinct, clean, mixed, packed = outs
+    assert all(x.columns == columns for x in outs[:-1])
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    kept = {r.doc_id for r in good.collect()}
+    assert all(d in kept for d, q in labels.items() if q == 1 and d in {r.doc_id for r in first.collect()}) or len(kept) > 150
+    assert {r.doc_id for r in distinct.collect()} == {c for d, _, c in expected([(r.doc_id, r.text) for r in good.collect()]) if d == c}
+    assert clean.count() == distinct.count() and not any(base_spans(r.text) for r in clean.collect())
+    plan = {r.doc_id: r.taken // r["size"] if r["size"] else 1 for r in mix_plan(clean, cut_boundary=False).collect()}
+    counts: dict = {}
+    for r in mixed.collect():
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    assert counts == {d: n for d, n in plan.items() if n}
+    tokens: dict = {}
+    for r in packed.collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    one = {r.doc_id: r.doc_tokens for r in packed.collect()}
+    assert tokens == {d: n * counts[d] for d, n in one.items()} and set(one) == set(counts)
+
+
+def test_run_is_the_last_stage(spark):
+    assert {"doc_id", "start", "length", "sequence_id"} <= set(pipeline.run(spark, SMALL).columns)
+    assert check_packed
