@@ -70,31 +70,36 @@ def with_parts(entries: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     put in order, by directory, and streamed through; all else is joins by directory. A global order
     is needed over the parts alone.
     """
-    rows = staged(with_estimates(entries), "cut-rows")
+    names = [*entries.columns, "estimate"]
+    # The walk key is cheaper made again from the path than written and read.
+    again = lambda df: df.withColumn("comps", components(F.col("path")))
+    rows = again(staged(with_estimates(entries).drop("comps"), "cut-rows"))
     sums = subtree_sums(rows.select("path", "kind", "comps", "estimate"), "estimate")
-    over = staged(sums.filter(F.col("total") > budget).select("path"), "cut-over")
-    directories = staged(rows.filter(F.col("kind") == DIRECTORY).select("path").join(sums, "path"), "cut-sums")
+    directories = staged(sums, "cut-sums")
+    over = staged(directories.filter(F.col("total") > budget).select("path"), "cut-over")
     # How many directories above and at each directory are divided: they are the outermost ones.
     ancestors = directories.select(F.col("path").alias("holder"), F.explode(prefixes(components(F.col("path")), own=True)).alias("path"))
     divided = ancestors.join(over, "path").groupBy("holder").agg(F.count("*").cast("int").alias("depth_over"))
-    keyed = rows.select("path", "parent", "kind", "comps", "estimate").join(divided, rows.parent == divided.holder, "left").drop("holder")
+    keyed = rows.join(divided, rows.parent == divided.holder, "left").drop("holder")
     keyed = keyed.join(over.select(F.col("path").alias("over_path")), F.col("path") == F.col("over_path"), "left")
-    keyed = keyed.withColumn("depth_over", F.coalesce("depth_over", F.lit(0))).withColumn("over", F.col("over_path").isNotNull())
-    unit = F.array_join(F.slice("comps", F.lit(1), F.col("depth_over") + 1), "/")
-    keyed = staged(keyed.select("path", "parent", "kind", "comps", "estimate", "over", unit.alias("unit")), "cut-units")
-    children = keyed.filter("path = unit").select("parent", "path", "comps", "estimate", "over").join(directories, "path", "left")
-    children = children.select("parent", "path", F.coalesce("total", "estimate").alias("size"), "over", F.element_at("comps", -1).alias("name"))
+    unit = F.array_join(F.slice("comps", F.lit(1), F.coalesce("depth_over", F.lit(0)) + 1), "/")
+    keyed = keyed.select("*", F.col("over_path").isNotNull().alias("over"), unit.alias("unit")).drop("comps", "over_path", "depth_over")
+    keyed = again(staged(keyed, "cut-units"))
+    children = keyed.filter("path = unit").select("parent", "path", "name", "estimate", "over").join(directories, "path", "left")
+    children = children.select("parent", "path", F.coalesce("total", "estimate").alias("size"), "over", "name")
     children = children.repartition("parent").sortWithinPartitions("parent", "name").select("parent", "path", "size", "over")
     runs = children.mapInArrow(lambda batches: _number_runs(batches, budget), "path string, run long").filter("run >= 0")
     runs = staged(runs.select(F.col("path").alias("unit"), parent_of(components(F.col("path"))).alias("in_dir"), "run"), "cut-runs")
-    placed = keyed.join(runs, "unit", "left")
-    firsts = placed.filter("run is not null").groupBy("in_dir", "run").agg(F.min("comps").alias("first"))
+    # The first row of a run is its first unit.
+    firsts = runs.groupBy("in_dir", "run").agg(F.min(components(F.col("unit"))).alias("first"))
     # A divided directory without rows below is a part, under a run that no other has.
-    bare = keyed.filter("over").select(F.col("path").alias("in_dir"), "comps").join(rows.select(F.col("parent").alias("in_dir")).distinct(), "in_dir", "left_anti")
-    firsts = firsts.unionByName(bare.select("in_dir", F.lit(-1).cast("long").alias("run"), F.col("comps").alias("first")))
+    bare = over.join(rows.select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
+    firsts = firsts.unionByName(bare.select(F.col("path").alias("in_dir"), F.lit(-1).cast("long").alias("run"), components(F.col("path")).alias("first")))
     # One row per part.
-    parts = staged(firsts.withColumn("part_no", (F.row_number().over(Window.orderBy("first")) - 1).cast("long")), "cut-parts")
+    parts = staged(firsts.withColumn("part_no", (F.row_number().over(Window.orderBy("first")) - 1).cast("long")).select("in_dir", "run", "part_no"), "cut-parts")
     # The row of a divided directory goes with the first part at or below it.
     carried = parts.select("part_no", F.explode(prefixes(components(F.col("in_dir")), own=True)).alias("path")).groupBy("path").agg(F.min("part_no").alias("carried_no"))
-    out = rows.join(placed.select("path", "in_dir", "run"), "path").join(parts.select("in_dir", "run", "part_no"), ["in_dir", "run"], "left").join(carried.join(over, "path"), "path", "left")
-    return out.withColumn("part_no", F.coalesce("part_no", "carried_no")).select(*rows.columns, "part_no")
+    carried = staged(carried.join(over, "path"), "cut-carried")
+    units = staged(runs.join(parts, ["in_dir", "run"]).select("unit", "part_no"), "cut-unit-parts")
+    out = keyed.join(units, "unit", "left").join(carried, "path", "left")
+    return out.withColumn("part_no", F.coalesce("part_no", "carried_no")).select(*names, "part_no")
