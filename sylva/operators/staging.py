@@ -13,9 +13,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/sylva/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a stage and reads it again: computed once, safe from lost executors, of known size."""
+    """Writes a stage and reads it again: computed once, safe from lost executors, and of
+    known size, by which the optimizer decides whether it is broadcast. The folder is the session's to clear."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sylva/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_folder(spark, name)
+    # Smaller row groups than by default: each open file of a task holds one in memory.
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
