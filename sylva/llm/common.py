@@ -3,53 +3,27 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from sylva.operators.staging import new_folder, shared_dir, staged
+
+__all__ = ["WORD", "WORDS", "arrow_rows", "exists", "n_words", "new_folder", "shared_dir", "staged"]
+
 #: What the contracts call a word, in Java's, RE2's and Python's syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, one machine) is a folder below the warehouse set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sylva/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a stage to the shared folder and reads it again.
-
-    It cuts the lineage, survives lost executors, is computed once, and gives the
-    optimizer the real size, on which it decides whether a side is broadcast.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    # Smaller row groups than by default: each open file of a task holds one in memory.
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """Jobs within send Python so many rows at a time at most: long texts and sets fill a batch soon."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+    spark.conf.set(key, str(min(most, int(before))))
     try:
         yield
     finally:

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sylva.llm.tokens import BYTE_BPE, encoder
 
 #: Documents and token bytes that are packed together, which bounds a task's memory.
-BLOCK_DOCUMENTS, BLOCK_BYTES = 16_384, 64 << 20
+BLOCK_DOCUMENTS, BLOCK_BYTES = 8_192, 24 << 20
 
 Piece = tuple[int, int, int]  # document, start, length
 

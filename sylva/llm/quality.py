@@ -20,6 +20,8 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 BUCKETS = 1 << 16
 #: Labelled rows that target model and threshold are made from, half each; the smallest hashes.
 LABELLED_ROWS = 20_000
+#: Documents whose n-grams are counted together.
+COUNTED = 256
 #: Distinct tokens whose hash a worker keeps.
 CACHED = 1 << 17
 ODD_1, ODD_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -49,12 +51,14 @@ def bucket_counts(docs: DataFrame, target_ids: frozenset, buckets: int = BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target, hashes = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), _Hashes()
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                count = np.bincount(features(text.as_py() or "", hashes, buckets), minlength=buckets)
-                raw += count
-                if doc_id in wanted.value:
-                    target += count
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNTED):
+                batch = whole.slice(at, COUNTED)
+                each = [features(t.as_py() or "", hashes, buckets) for t in batch.column(1)]
+                raw += np.bincount(np.concatenate(each), minlength=buckets)
+                for doc_id, found in zip(batch.column(0).to_pylist(), each):
+                    if doc_id in wanted.value:
+                        target += np.bincount(found, minlength=buckets)
         used = np.nonzero(raw)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(raw[used]), pa.array(target[used])], schema=arrow)
 

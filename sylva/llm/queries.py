@@ -133,4 +133,17 @@ SELECT source, lang, CASE WHEN lang = 'en' THEN 'marks-1' ELSE 'words-1' END AS
 FROM c WHERE words >= 20 GROUP BY ALL HAVING documents <> 0 OR tokens <> 0
 """
 
-ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op5_mix": OP5_SQL, "op8_warc": OP8_SQL}
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM shared JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.v FROM reach r JOIN links l ON r.b = l.u)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id
+FROM reach JOIN documents ON a = doc_id LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix": OP5_SQL, "op8_warc": OP8_SQL}
