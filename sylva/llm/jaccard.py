@@ -39,6 +39,8 @@ ALIKE = (80, 100)
 CACHED_WORDS, HELD_KEYS = 1 << 17, 1 << 19
 #: Texts or sets that go to Python at a time.
 BATCH_ROWS = 1_000
+#: Keys that are sorted together, about, however many there are: 12 bytes each.
+BUCKET_KEYS = 1 << 20
 #: Rows of a block's group that are compared in one task; larger groups are divided.
 CELL_ROWS = 4_096
 #: Members in a row of a group.
@@ -156,13 +158,15 @@ def document_sets(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def block_groups(sets: DataFrame, tasks: int) -> DataFrame:
+def block_groups(sets: DataFrame, tasks: int, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Nodes that share a block: group, center (the smallest of all), members (the others, in chunks).
 
     Keys travel in arrays, by bucket, and each bucket is sorted by itself. Blocks of one node
     alone, nearly all, end there. Blocks of the same nodes are one group, whose number is a hash of them.
     """
-    buckets = 4 * tasks
+    # About n / 4 keys a set, and those of sets near the end of their band twice.
+    keys = sets.filter("elements is not null").agg(F.sum(F.col("n_shingles") / 4 + 1)).first()[0] or 0
+    buckets = max(4 * tasks, int(1.4 * keys) // bucket_keys)
     sent = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("nodes", T.BinaryType())])
     sent_arrow = to_arrow_schema(sent)
 

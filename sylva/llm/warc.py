@@ -130,9 +130,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
     Pages: page_id, url, html; the payload is the html in UTF-8 (null: empty). Of equal payloads of
     at least ``least_revisit`` bytes that with the smallest page_id is the response and others
     revisit it; rows that repeat that page_id are responses too, and so is every page where no
-    page of the group has an id. Each task writes archives of its own, under a name that a repeated
-    task overwrites in one move. ``folder`` (by default in the cluster's shared one) must be seen
-    by all executors.
+    page of the group has an id. Each attempt of a task writes archives of its own; those of the
+    attempts that count are in the table returned, and others in the folder are to be ignored. ``folder``
+    (by default in the cluster's shared one) must be seen by all executors.
     """
     spark = pages.sparkSession
     folder = _qualified(spark, folder or new_folder(spark, "warc"))
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
         def close() -> None:
             nonlocal out
             out.close()
-            final = f"{root}/part-{context.partitionId():06d}-{nth:05d}.warc.gz"
+            final = f"{root}/part-{context.partitionId():06d}-{nth:05d}-{context.taskAttemptId()}.warc.gz"
             store.move(name, final)
             done.append((f"{folder}/{final.rpartition('/')[2]}", n, size))
             out = None
