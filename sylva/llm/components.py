@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.common import staged
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges up to which one task joins them, in memory; more are joined in rounds.
+FEW_EDGES = 16_384
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by smaller number over all edges."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = root(u), root(v)
+            above[max(u, v)] = min(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.int64()), pa.array([root(x) for x in list(above)], pa.int64())], names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, few_edges: int | None = None) -> DataFrame:
     """The smallest node reachable from each node of ``edges`` (u, v: long): node, root.
 
     Alternates two rounds until nothing changes: every node's larger neighbours are tied to its
     smallest one, then its smaller neighbours are. Minima are aggregated before they are joined
     back, so that a node with very many edges is no group of its own in any task. Each round
-    is written to the shared folder.
+    is written to the shared folder. A table of ``few_edges`` at most, a bound that is measured, is
+    joined by one task instead, to the same result.
     """
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "cc")
+    if now.count() <= (FEW_EDGES if few_edges is None else few_edges):
+        return now.coalesce(1).mapInArrow(_in_one_task, "node long, root long")
     seen = None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,10 +53,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = staged(small, "cc")
-        print_ = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if print_ == seen:
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == seen:
             break
-        seen = print_
+        seen = state
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

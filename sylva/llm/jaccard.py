@@ -43,6 +43,8 @@ BATCH_ROWS = 1_000
 BUCKET_KEYS = 1 << 20
 #: Rows of a block's group that are compared in one task; larger groups are divided.
 CELL_ROWS = 4_096
+#: Pairs that a task finds before it drops those that another stands for.
+HELD_PAIRS = 1 << 17
 #: Members in a row of a group.
 CHUNK = 4_096
 #: Rounds that tie components to their nearest, before all pairs that are left are compared.
@@ -293,7 +295,7 @@ class Sketches:
         for w in np.unique(self.width[x]).tolist():
             for other, wide in ((w, self.whole), (2 * w, self.half)):
                 pick = np.nonzero((self.width[x] == w) & (self.width[y] == other))[0]
-                step = max(1, (1 << 24) // w)
+                step = max(1, (1 << 22) // w)
                 for at in range(0, len(pick), step):
                     p = pick[at : at + step]
                     out[p] = np.bitwise_count(self.whole[w][self.place[x[p]]] ^ wide[other][self.place[y[p]]]).sum(axis=1, dtype=np.int64)
@@ -378,7 +380,7 @@ def remaining_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, ne
             if ok.any():
                 found.append(np.stack([x[ok], y[ok], distance[ok]]))
                 held += int(ok.sum())
-                if held > 1 << 20:
+                if held > HELD_PAIRS:
                     found = [reduced()]
                     held = 0
         x, y, d = reduced() if found else np.zeros((3, 0), np.int64)

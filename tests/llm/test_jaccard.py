@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from sylva.llm import components
 from sylva.llm import jaccard as J
 from sylva.llm.components import connected_components
 
@@ -65,6 +66,7 @@ def test_small_cells_and_no_rounds_lose_nothing(documents, monkeypatch):
     monkeypatch.setattr(J, "CELL_ROWS", 8)
     monkeypatch.setattr(J, "CHUNK", 3)
     monkeypatch.setattr(J, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
     rows = corpus(7)
     assert got(documents(rows)) == expected(rows)
     monkeypatch.setattr(J, "NEAREST_ROUNDS", 0)
@@ -102,7 +104,8 @@ def test_components(spark):
     for _ in range(400):
         for u, v in edges:
             root[u] = root[v] = min(root[u], root[v])
-    got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     looped = {u for u, v in edges if u == v} - {x for u, v in edges if u != v for x in (u, v)}
-    assert got == {k: v for k, v in root.items() if k not in looped}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    for few in (0, None):  # in rounds, and by one task
+        got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "u long, v long"), few_edges=few).collect()}
+        assert got == {k: v for k, v in root.items() if k not in looped}
+        assert connected_components(spark.createDataFrame([], "u long, v long"), few_edges=few).count() == 0
