@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ WIDTH = max(f[3] for f in FILTERS)
 #: The thresholds that make two bits of a filter's log ratio, and their Gray code.
 CUTS = np.array([-0.12, 0.0, 0.12])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+#: Steps of a scaled frame's values; recordings whose prints are made together.
+ROUNDED, TOGETHER = 1 << 20, 64
 #: A fingerprint value that occurs more often in a recording says nothing about an offset.
 MOST_PLACES = 16
 #: Values of which the one with the least hash is a landmark.
@@ -54,19 +57,26 @@ def voiced_frames(text: str | None, hop: int = 2, window: int = 12) -> np.ndarra
 
 
 def fingerprint(frames: np.ndarray) -> np.ndarray:
-    """One 32-bit integer for each place where all filters fit: the quantised answers of the filters.
+    """One 32-bit integer for each place where all filters fit: the quantised answers of the filters."""
+    return fingerprint_many([frames])[0]
 
-    Rectangles are summed by the integral image of the frames, each scaled to length one."""
-    n = len(frames) - WIDTH + 1
+
+def fingerprint_many(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """The fingerprints of several recordings' frames, by one integral image of all of them.
+
+    Frames are scaled to length one and rounded to 2**-20, so that all sums are exact: the same
+    frames give the same integers wherever they lie."""
+    sizes = [len(f) for f in recordings]
+    n = sum(sizes) - WIDTH + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
+        return [np.zeros(0, np.uint32) for _ in recordings]
+    frames = np.concatenate([f.reshape(-1, PITCHES) for f in recordings])
     norm = np.linalg.norm(frames, axis=1, keepdims=True)
     image = np.zeros((len(frames) + 1, PITCHES + 1))
-    image[1:, 1:] = np.cumsum(np.cumsum(frames / np.where(norm > 0, norm, 1), axis=0), axis=1)
-    t = np.arange(n)
+    image[1:, 1:] = np.cumsum(np.cumsum(np.round(frames / np.where(norm > 0, norm, 1) * ROUNDED) / ROUNDED, axis=0), axis=1)
 
     def box(x: int, y: int, w: int, h: int) -> np.ndarray:
-        return image[t + x + w, y + h] - image[t + x, y + h] - image[t + x + w, y] + image[t + x, y]
+        return image[x + w : x + w + n, y + h] - image[x : x + n, y + h] - image[x + w : x + w + n, y] + image[x : x + n, y]
 
     out = np.zeros(n, np.uint32)
     for i, (shape, y, h, w) in enumerate(FILTERS):
@@ -83,7 +93,8 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
             part = box(w // 4, y, w // 2, h)
         answer = np.log((1 + part) / (1 + whole - part))
         out |= GRAY[np.searchsorted(CUTS, answer, side="right")] << np.uint32(2 * i)
-    return out
+    starts = np.cumsum([0, *sizes])
+    return [out[s : max(s, s + size - WIDTH + 1)] for s, size in zip(starts, sizes)]
 
 
 def landmarks(values: np.ndarray, window: int = LANDMARK_WINDOW) -> np.ndarray:
@@ -128,9 +139,9 @@ def fingerprints(media: DataFrame, keys: Sequence[str], column: str, frames: Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for value in batch.column(len(keys)):
-                f = frames(value.as_py())
-                p = fingerprint(f)
+            values = batch.column(len(keys))
+            framed = (frames(v.as_py()) for v in values)
+            for f, p in ((f, p) for some in iter(lambda: list(islice(framed, TOGETHER)), []) for f, p in zip(some, fingerprint_many(some))):
                 data = p.astype("<u4").tobytes()
                 found = (len(f), data, landmarks(p).tolist(), int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)) if len(p) else (len(f), None, None, None)
                 for c, v in zip(rows, found):

@@ -29,6 +29,17 @@ def test_filters_answer_like_plain_sums():
     assert shape == 0 and got[3] & 3 == media.GRAY[level]
 
 
+def test_prints_dont_depend_on_what_is_around():
+    r = np.random.default_rng(3)
+    all_ = [r.integers(0, 5, (n, 12)).astype(float) for n in (40, 0, 16, 15, 3, 200, 1)]
+    together = media.fingerprint_many(all_)
+    assert [len(p) for p in together] == [25, 0, 1, 0, 0, 185, 0]
+    for f, p in zip(all_, together):
+        assert np.array_equal(media.fingerprint(f), p)
+    assert np.array_equal(media.fingerprint(all_[5][70:]), together[5][70:])
+    assert media.fingerprint_many([]) == []
+
+
 def test_alignment_finds_the_shift():
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 32, 300, dtype=np.uint32)
