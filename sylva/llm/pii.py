@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
 
@@ -31,6 +30,8 @@ TERM = re.compile(r"[^\W\d_]{4,40}")
 KINDS = (*BASE_KINDS, "term")
 #: So many terms are sent to every executor at most, about 20 MB; more are joined.
 BROADCAST_TERMS = 200_000
+#: A task remembers the texts of terms that can be in so many at most; those of others go on as they come.
+FEW_TEXTS = 64
 
 
 def emails(text: str) -> list[Span]:
@@ -80,67 +81,97 @@ def _hash(*parts: str) -> int:
 
 
 def contexts(docs: DataFrame, window: int = 8) -> DataFrame:
-    """A row (entity, term, context) for each term within ``window`` terms of a protected entity.
+    """A row (entity, text, term) for each term within ``window`` terms of a protected entity, and one without a term.
 
-    ``context`` is a hash of the terms around, by which copies of a passage count once."""
-    schema = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("context", T.LongType())])
+    ``text`` is a hash of the whole text, by which copies of a document count once."""
+    schema = T.StructType([T.StructField("entity", T.LongType()), T.StructField("text", T.LongType()), T.StructField("term", T.StringType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], []]
+            rows: set[tuple] = set()
             for t in batch.column(0):
                 text = t.as_py() or ""
-                for kind, start, end in base_spans(text):
+                if not (spans := base_spans(text)):
+                    continue
+                whole = _hash(text)
+                for kind, start, end in spans:
                     # A term has 40 characters at most, so that the window lies within these bounds.
                     left = [m[0].lower() for m in TERM.finditer(text, max(0, start - 60 * window), start)][-window:]
                     right = [m[0].lower() for m in TERM.finditer(text, end, min(len(text), end + 60 * window))][:window]
-                    entity, context = _hash(_entity(kind, text[start:end])), _hash(*left, "", *right)
-                    for term in {*left, *right}:
-                        for column, value in zip(rows, (entity, term, context)):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, arrow)], schema=arrow)
+                    entity = _hash(_entity(kind, text[start:end]))
+                    rows.update((entity, whole, term) for term in (None, *left, *right))
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return docs.select("text").mapInArrow(run, schema)
 
 
-def _frequencies(docs: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """Number of documents with each term; ``only`` keeps the count to a bounded set of terms."""
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+def _holders(docs: DataFrame, most: dict[str, int] | None) -> DataFrame:
+    """(term, text): the texts that hold each term, copies once or more.
+
+    ``most`` keeps this to a bounded set of terms; of one in more than ``most[term]`` texts, which are
+    too many for it to disclose, a task gives some that are over that number."""
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("text", T.LongType())])
     arrow = to_arrow_schema(schema)
-    sent = docs.sparkSession.sparkContext.broadcast(only)
+    sent = docs.sparkSession.sparkContext.broadcast(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
+        limits = sent.value
+        seen: dict[str, set[int]] = {}  # of terms with a small limit
+        over: set[str] = set()
         for batch in batches:
-            count: Counter[str] = Counter()
+            rows: set[tuple] = set()
             for t in batch.column(0):
-                words = set(map(str.lower, TERM.findall(t.as_py() or "")))
-                count.update(words if wanted is None else wanted & words)
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), arrow.field(0).type), pa.array(list(count.values()), arrow.field(1).type)], schema=arrow)
+                text = t.as_py() or ""
+                words = set(map(str.lower, TERM.findall(text)))
+                words = words if limits is None else {w for w in words if w in limits and w not in over}
+                if not words:
+                    continue
+                whole = _hash(text)
+                for word in words:
+                    if limits is not None and (limit := limits[word]) <= FEW_TEXTS:
+                        held = seen.setdefault(word, set())
+                        if whole in held:
+                            continue
+                        held.add(whole)
+                        if len(held) > limit:
+                            over.add(word)
+                            del seen[word]
+                    rows.add((word, whole))
+            columns = list(zip(*rows)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n_docs"))
+    return docs.select("text").mapInArrow(run, schema)
 
 
-def disclosing_terms(docs: DataFrame, window: int = 8, least_contexts: int = 5, least_share: float = 0.9, least_bits: float = 4.0, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """Terms that reveal a protected entity: term, entity, n_contexts, n_docs, share, bits.
+def disclosing_terms(docs: DataFrame, window: int = 8, least_share: float = 0.9, least_bits: float = 4.0, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """Terms that reveal a protected entity: term, entity, n_both, n_docs, share, bits.
 
-    Over the whole corpus, ``share`` is the part of a term's documents that show it near the entity
-    in distinct contexts, an estimate of P(entity | term), and ``bits`` is the pointwise mutual
-    information log2 P(entity | term) / P(entity). A term discloses when all three thresholds are met.
+    A term is tried with each entity that it is within ``window`` terms of anywhere. All counts are of
+    distinct texts: ``n_docs`` hold the term and ``n_both`` of them the entity, near or not. ``share``
+    estimates P(entity | term) from the texts but one, (n_both - 1) / (n_docs - 1), so that a text
+    is no evidence for itself, and two suffice. ``bits`` is the pointwise mutual information
+    log2 P(entity | term) / P(entity), with one text added for P(entity).
     """
-    near = contexts(docs, window)
-    near = staged(near.distinct(), "pii-contexts")
-    pairs = staged(near.groupBy("entity", "term").agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") >= least_contexts), "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    few = [r.term for r in wanted.limit(broadcast_terms + 1).collect()]
-    counts = _frequencies(docs, frozenset(few) if len(few) <= broadcast_terms else None)
-    entities = near.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
-    total = docs.count()
-    share = F.least(F.lit(1.0), F.col("n_contexts") / F.col("n_docs"))
-    bits = F.log2(F.col("share") / (F.col("n_entity") / F.lit(max(total, 1))))
-    out = pairs.join(counts, "term").join(entities, "entity").withColumn("share", share).withColumn("bits", bits)
-    return out.filter((F.col("share") >= least_share) & (F.col("bits") >= least_bits)).select("term", "entity", "n_contexts", "n_docs", "share", "bits")
+    near = staged(contexts(docs, window).distinct(), "pii-contexts")
+    holds = near.filter("term is null").select("entity", "text")
+    pairs = near.filter("term is not null").select("entity", "term").distinct().join(holds.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity")
+    # An entity in one text has no other to be told by; a term in over n_entity texts by so much misses the share.
+    most = F.floor((F.col("n_entity") - 1) / F.lit(least_share)) + 2
+    pairs = staged(pairs.filter("n_entity > 1").withColumn("most", most), "pii-pairs")
+    limits = pairs.groupBy("term").agg(F.max("most").alias("most"))
+    few = limits.limit(broadcast_terms + 1).collect()
+    terms = _holders(docs, {r.term: r.most for r in few} if len(few) <= broadcast_terms else None)
+    terms = staged((terms if len(few) <= broadcast_terms else terms.join(limits.select("term"), "term", "left_semi")).distinct(), "pii-holders")
+    counts = terms.groupBy("term").agg(F.count("*").alias("n_docs"))
+    pairs = pairs.join(counts, "term").filter(F.col("n_docs").between(2, F.col("most")))
+    both = pairs.join(terms, "term").join(holds, ["entity", "text"]).groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_docs").alias("n_docs"), F.first("n_entity").alias("n_entity"))
+    total = docs.select(F.countDistinct(F.xxhash64(F.coalesce("text", F.lit(""))))).first()[0]
+    share = (F.col("n_both") - 1) / (F.col("n_docs") - 1)
+    bits = F.log2(F.col("share") / ((F.col("n_entity") + 1) / F.lit(total + 1)))
+    out = both.withColumn("share", share).withColumn("bits", bits)
+    return out.filter((F.col("share") >= least_share) & (F.col("bits") >= least_bits)).select("term", "entity", "n_both", "n_docs", "share", "bits")
 
 
 def _finder(terms: Callable[[], frozenset[str]]) -> Callable[[str], list[Span]]:

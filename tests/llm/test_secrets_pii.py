@@ -97,5 +97,19 @@ def test_terms_that_disclose(documents):
     assert clean[3000] == "Here goes  alone" and "bob@" not in clean[1000] and clean[2000] == "alpha beta uniquelyword [EMAIL] gamma delta"
 
 
+def test_terms_of_rare_and_repeated_entities(documents):
+    r = random.Random(2)
+    common = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    some = lambda n: " ".join(r.choice(common) for _ in range(n))
+    rows = [(i, some(30), "en", "s") for i in range(300)]
+    # An address in two texts, and a signature whose surroundings are the same in every text.
+    rows += [(1000 + i, f"{some(9)} Quillfeather eve@mail.org {some(9)}", "en", "s") for i in range(2)]
+    signature = "alpha beta gamma delta epsilon zeta theta Wintergreen kim@mail.org kappa lambda omicron sigma upsilon omega digamma sampi"
+    rows += [(2000 + i, f"{some(20)} {signature} {some(20)}", "en", "s") for i in range(12)]
+    assert {"quillfeather", "wintergreen"} <= {t.term for t in pii.disclosing_terms(documents(rows)).collect()}
+    assert not set(common) & {t.term for t in pii.disclosing_terms(documents(rows)).collect()}
+    assert "term" in {x.doc_id: x.s for x in pii.personal_spans(documents(rows)).select("doc_id", joined("spans").alias("s")).collect()}[1000]
+
+
 def test_empty_table(documents):
     assert pii.personal_spans(documents([])).count() == 0
