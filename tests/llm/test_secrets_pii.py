@@ -111,5 +111,17 @@ def test_terms_of_rare_and_repeated_entities(documents):
     assert "term" in {x.doc_id: x.s for x in pii.personal_spans(documents(rows)).select("doc_id", joined("spans").alias("s")).collect()}[1000]
 
 
+def test_shares_are_of_texts_on_both_sides(documents):
+    r = random.Random(3)
+    some = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(i, some(30), "en", "s") for i in range(300)]
+    shown = [f"{some(9)} Zanzibarovich bob@mail.org {some(9)}" for _ in range(6)]
+    # One of the texts is copied, and others hold the term far from the entity.
+    rows += [(1000 + i, x, "en", "s") for i, x in enumerate(shown + shown[:1] * 200)]
+    rows += [(2000 + i, f"Zanzibarovich {some(20)} bob@mail.org", "en", "s") for i in range(4)]
+    found = {t.term: (t.n_both, t.n_docs) for t in pii.disclosing_terms(documents(rows)).collect()}
+    assert found["zanzibarovich"] == (10, 10)
+
+
 def test_empty_table(documents):
     assert pii.personal_spans(documents([])).count() == 0
