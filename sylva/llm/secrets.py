@@ -27,9 +27,6 @@ KNOWN = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"[0-9+/_=.-]+",  # numbers, dates, rules
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_][0-9]{2}[0-9.+-]*Z?",  # points in time
-    r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[+/_=.-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[+/_=.-]*",  # words and numbers with marks between
-    r"[a-z]+(?:[A-Z][a-z]+)+[0-9]{0,4}",  # camelCase
-    r"(?:[A-Z][a-z]+)+[0-9]{0,4}",  # PascalCase
 )
 
 

@@ -50,6 +50,16 @@ def test_random_strings_and_what_is_known():
     assert [k for k, _, _ in find("token=" + token)] == ["assign"]  # covered already
 
 
+def test_random_letters_and_licence_keys():
+    find = secrets.secret_finder()
+    r = random.Random(6)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        value = "".join(r.choice(letters) for _ in range(32))
+        assert find(f"see {value} here") == [("random", 4, 36)]
+    assert find("key XKQZ-83819-WQPZT-PLMKX-99213") == [("random", 4, 32)]
+    assert find("x theLongCamelCaseIdentifierOfWords node_modules/react-dom/16.3.1/index.min.js 20240101-120000-00012345 y") == []
+
+
 def test_scans_are_linear():
     import time
 
