@@ -60,6 +60,23 @@ def test_random_letters_and_licence_keys():
     assert find("x theLongCamelCaseIdentifierOfWords node_modules/react-dom/16.3.1/index.min.js 20240101-120000-00012345 y") == []
 
 
+def test_random_parts_of_readable_runs():
+    find = secrets.secret_finder()
+    r = random.Random(7)
+    value = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    for before in ("//example.com/api/v1/customers/documents/download/", "/srv/application/configuration/production/", "com.example.application.configuration."):
+        for _ in range(20):
+            text = before + value(24)
+            assert any(k == "random" and e == len(text) and s <= len(before) for k, s, e in find(text))
+    inside = "internationalization" * 3 + value(40) + "internationalization" * 3
+    assert [(k, 50 <= s <= 60, 100 <= e <= 110) for k, s, e in find(inside)] == [("random", True, True)]
+    # Beside a hex, in one run: only the part that the hex covers is skipped.
+    other = value(30)
+    text = "x //example.com/" + "deadbeef" * 4 + "/" + other + " y"
+    assert [k for k, _, _ in find(text)] == ["hex", "random"] and text.index(other) + 30 == find(text)[1][2]
+    assert find("//example.com/documents/550e8400-e29b-41d4-a716-446655440000/download/application/configuration") == []
+
+
 def test_scans_are_linear():
     import time
 
