@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylva.llm import jaccard, mixing, packing, quality, secrets
 from sylva.llm.common import staged
+from sylva.llm.tokens import BYTE_BPE_JSON
 
 
 #: Documents that go to Python at a time: whole texts, up to very long ones, in bounded memory.
@@ -45,7 +46,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences of tokens."""
     bounded(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, added=BYTE_BPE_JSON)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -123,9 +124,10 @@ def _schema(doc_id: T.DataType, with_ids: bool) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields + [("ids", T.BinaryType())] * with_ids])
 
 
-def pack(docs: DataFrame, capacity: int = 1024, ranks: str = BYTE_BPE, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, ranks: str = BYTE_BPE, end_id: int = 0, with_ids: bool = False, added: str | None = None) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens; one row per piece.
 
+    ``added`` names a tokenizer's JSON file whose added tokens stand for their strings; without it these are ordinary text.
     A document is the ids of its text and ``end_id``; a null or empty text is ``end_id`` alone.
     Overlong documents are first cut into full windows. What remains of them and shorter
     documents are packed best fit decreasing, in blocks of a bounded number of documents of one
@@ -142,7 +144,8 @@ def pack(docs: DataFrame, capacity: int = 1024, ranks: str = BYTE_BPE, end_id: i
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_ordinary
+        tokenizer = encoder(ranks, added)
+        encode = partial(tokenizer.encode, allowed_special="all") if added else tokenizer.encode_ordinary
         sequence = TaskContext.get().partitionId() << 40
         ids: list = []
         tokens: list[bytes] = []

@@ -11,6 +11,7 @@ from sylva.llm import ann, jaccard, media, pii, quality, secrets, warc
 from sylva.llm.packing import pack
 from sylva.llm.rollup import VERSIONS, TokenRollup, revised, signed
 from sylva.llm.spans import count_of, joined, of_kinds
+from sylva.llm.tokens import BYTE_BPE_JSON
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=BYTE_BPE_JSON)
 
 
 def _span_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

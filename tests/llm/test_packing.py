@@ -76,3 +76,16 @@ def test_edges(documents):
     check(pack(documents([(k, v, None, None) for k, v in texts.items()], extra=True)).collect(), texts)
     twice = pack(documents([(1, "a b c", None, None)] * 3), with_ids=True).collect()
     assert sum(len(r.ids) // 4 for r in twice) == 3 * (len(encoder().encode_ordinary("a b c")) + 1)
+
+
+def test_added_tokens_are_those_of_the_named_file(spark, documents, tmp_path):
+    from sylva.llm.queries import op10_pack
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  <|endoftext|>\n\n y", "<|endoftext|", "é <|endoftext|>😀 <|ENDOFTEXT|>", ""]
+    documents([(i, x, None, None) for i, x in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in op10_pack(spark, str(tmp_path)).collect() if r.start == 0 and r.length == r.doc_tokens}
+    want = {i: np.array([*plain.encode(x, add_special_tokens=False).ids, 0], "<u4") for i, x in enumerate(texts)}
+    assert got and all(got[i] == (len(want[i]), zlib.crc32(want[i].tobytes())) for i in got)
+    assert {0, 1} & set(got)
