@@ -24,7 +24,7 @@ CUTS = np.array([-0.12, 0.0, 0.12])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Steps of a scaled frame's values; recordings whose prints are made together.
 ROUNDED, TOGETHER = 1 << 20, 64
-#: A fingerprint value that occurs more often in a recording says nothing about an offset.
+#: The offsets of a fingerprint value that occurs more often in a recording are counted by FFT.
 MOST_PLACES = 16
 #: Values of which the one with the least hash is a landmark.
 LANDMARK_WINDOW = 8
@@ -108,18 +108,35 @@ def landmarks(values: np.ndarray, window: int = LANDMARK_WINDOW) -> np.ndarray:
     return np.unique(values[np.unique(view.argmin(axis=1) + np.arange(len(view)))])
 
 
+def _votes(a: np.ndarray, b: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All offsets, and how many equal values each has: the sum over ``values`` of their indicator rows' correlations."""
+    size = 1 << (len(a) + len(b) - 1).bit_length()
+    total = np.zeros(size // 2 + 1, np.complex128)
+    for value in values:
+        total += np.conj(np.fft.rfft(a == value, size)) * np.fft.rfft(b == value, size)
+    counts = np.rint(np.fft.irfft(total, size)).astype(np.int64)
+    offsets = np.arange(-len(a) + 1, len(b))
+    return offsets, counts[offsets % size]
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float, int]:
     """(offset, bit error rate, overlap): a[i] meets b[i + offset] at the offset that most equal values have.
 
-    Ties go to the smaller shift, then to the left. Without equal values, offset 0 is tried."""
+    Ties go to the smaller shift, then to the left. Without equal values, offset 0 is tried. Values of over
+    ``MOST_PLACES`` places are counted by FFT."""
     order = np.argsort(b, kind="stable")
     low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     places = np.where(high - low <= MOST_PLACES, high - low, 0)
     i = np.repeat(np.arange(len(a)), places)
     j = order[np.repeat(low, places) + np.arange(len(i)) - np.repeat(np.cumsum(places) - places, places)]
     offset = 0
-    if len(i):
+    if (high > low).any():
         offsets, count = np.unique(j - i, return_counts=True)
+        frequent = np.unique(a[high - low > MOST_PLACES])
+        if len(frequent):
+            every, more = _votes(a, b, frequent)
+            more[offsets + len(a) - 1] += count
+            offsets, count = every, more
         best = offsets[count == count.max()]
         offset = int(best[np.lexsort((best, np.abs(best)))[0]])
     start, end = max(0, -offset), min(len(a), len(b) - offset)

@@ -54,6 +54,19 @@ def test_alignment_finds_the_shift():
     assert media.align(a[:0], a)[2] == 0
 
 
+def test_alignment_of_repetitive_recordings():
+    r = np.random.default_rng(7)
+    loop = np.tile(r.integers(0, 1 << 32, 6, dtype=np.uint32), 60)
+    a = loop[r.integers(0, len(loop), 400)]
+    for shift in (0, 3, 40):
+        assert media.align(a, a[shift:]) == (-shift, 0.0, 400 - shift)
+        assert media.align(a[shift:], a) == (shift, 0.0, 400 - shift)
+    for x, y in ((a[:90], a[17:]), (loop, loop[5:]), (loop[:100], loop)):
+        votes = [sum(x[max(0, -o) : len(y) - o] == y[max(0, o) : max(0, o) + len(x[max(0, -o) : len(y) - o])]) for o in range(-len(x) + 1, len(y))]
+        most = [o for o, n in zip(range(-len(x) + 1, len(y)), votes) if n == max(votes)]
+        assert media.align(x, y)[0] == min(most, key=lambda o: (abs(o), o))
+
+
 def recordings():
     r = random.Random(4)
     text = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
