@@ -6,16 +6,52 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.operators.staging import new_folder, shared_dir, staged
 
-__all__ = ["WORD", "WORDS", "arrow_rows", "exists", "n_words", "new_folder", "shared_dir", "staged"]
+__all__ = ["Stages", "WORD", "WORDS", "arrow_rows", "exists", "n_words", "join_each", "new_folder", "shared_dir", "staged"]
 
 #: What the contracts call a word, in Java's, RE2's and Python's syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
+#: Rows from which a key counts as hot, and the tasks that its rows are dealt to.
+HOT, SALTS = 1_024, 16
+
+
+class Stages:
+    """Stage tables of one operator, below one folder of the shared one. Those that nothing reads any more can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, new_folder(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`staged`; tables of one name are told apart."""
+        self.n += 1
+        path = f"{self.folder}/{self.n:03d}-{name}"
+        df.write.option("parquet.block.size", 32 << 20).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Removes all tables of these names."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in store.listStatus(path):
+            if s.getPath().getName().partition("-")[2] in names:
+                store.delete(s.getPath(), True)
+
+
+def join_each(rows: DataFrame, each: DataFrame, key: str, by: str, stages: Stages, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``each``, which has a row per ``key`` and ``n``, how many of the rows have that key.
+
+    Keys of over ``HOT`` rows are dealt to ``SALTS`` tasks by the column ``by``. Their list, a row for each ``HOT`` rows at
+    most, is written first, so that its real size decides whether it is broadcast."""
+    hot = stages.write(each.filter(F.col("n") > HOT).select(key, F.lit(True).alias("_hot")), "hot")
+    rows = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    every = F.array(*[F.lit(i) for i in range(SALTS)])
+    each = each.withColumn("_salt", F.explode(F.when(F.col("n") > HOT, every).otherwise(F.array(F.lit(0))))).drop("n")
+    return rows.join(each, [key, "_salt"], how).drop("_salt")
 
 
 @contextmanager

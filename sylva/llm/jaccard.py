@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylva.llm.common import arrow_rows, staged
+from sylva.llm.common import Stages, arrow_rows, join_each
 from sylva.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -39,8 +39,10 @@ ALIKE = (80, 100)
 CACHED_WORDS, HELD_KEYS = 1 << 17, 1 << 19
 #: Texts or sets that go to Python at a time.
 BATCH_ROWS = 1_000
-#: Keys that are sorted together, about, however many there are: 12 bytes each.
-BUCKET_KEYS = 1 << 20
+#: Keys that are sorted together, about, however many there are; the rows that a chunk of keys can name by 16 bits.
+BUCKET_KEYS, CHUNK_ROWS = 1 << 20, 1 << 16
+#: Rows of a chunk that share a key from which they are a group of their own, tied to the key's by its first row.
+HOT_ROWS = 64
 #: Rows of a block's group that are compared in one task; larger groups are divided.
 CELL_ROWS = 4_096
 #: Pairs that a task finds before it drops those that another stands for.
@@ -49,8 +51,8 @@ HELD_PAIRS = 1 << 17
 CHUNK = 4_096
 #: Rounds that tie components to their nearest, before all pairs that are left are compared.
 NEAREST_ROUNDS = 5
-#: Nodes up to which a list of them is broadcast, 16 bytes each; beyond that it is joined.
-BROADCAST_NODES = 1_000_000
+#: Rows up to which a list of them is broadcast, 16 bytes each; beyond that it is joined.
+BROADCAST_ROWS = 1_000_000
 MIX_1, MIX_2, MIX_3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U = np.uint64
 
@@ -135,9 +137,10 @@ def _batch(rows: list[list], arrow: pa.Schema) -> pa.RecordBatch:
 
 
 def document_sets(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """A row per document: doc_id, row, node (a hash of its set, null if empty), n_shingles, and the
+    """A row per document: doc_id, text_hash, row, node (a hash of its set, null if empty), n_shingles, and the
     elements of the set for the first document of a node in each task."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("elements", T.BinaryType())])
+    fields = [("text_hash", T.LongType()), ("row", T.LongType()), ("node", T.LongType()), ("n_shingles", T.LongType()), ("elements", T.BinaryType())]
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(*f) for f in fields)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,102 +150,154 @@ def document_sets(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 rows: list[list] = [[] for _ in arrow]
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                     h = shingles(text.as_py(), hashes, width)
                     node = int.from_bytes(blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None
                     new = node is not None and node not in seen
                     seen.add(node)
-                    for c, v in zip(rows, (doc_id, row, node, len(h), packed(h) if new else None)):
+                    for c, v in zip(rows, (doc_id, text_hash, row, node, len(h), packed(h) if new else None)):
                         c.append(v)
                     row += 1
                 yield _batch(rows, arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, schema)
 
 
-def block_groups(sets: DataFrame, tasks: int, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Nodes that share a block: group, center (the smallest of all), members (the others, in chunks).
+def block_groups(sets: DataFrame, tasks: int, stages: Stages, bucket_keys: int = BUCKET_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows of sets (row, n_shingles, elements) that share a block: group, center (one of them), members (others, in chunks).
 
-    Keys travel in arrays, by bucket, and each bucket is sorted by itself. Blocks of one node
-    alone, nearly all, end there. Blocks of the same nodes are one group, whose number is a hash of them.
+    Keys travel in chunks of a task's rows, sorted, by bucket: four bytes a key and two for its row. Each bucket is sorted by
+    itself; blocks of one row alone, nearly all, end there. Blocks of the same rows are one group, by a hash of them. Where
+    ``hot_rows`` rows of a chunk share a key, its bucket gets their first and a hash of them; the rows travel apart and get
+    the group's number from there, so that no task gets all rows of a frequent key.
     """
     # About n / 4 keys a set, and those of sets near the end of their band twice.
-    keys = sets.filter("elements is not null").agg(F.sum(F.col("n_shingles") / 4 + 1)).first()[0] or 0
+    keys = sets.agg(F.sum(F.col("n_shingles") / 4 + 1)).first()[0] or 0
     buckets = max(4 * tasks, int(1.4 * keys) // bucket_keys)
-    sent = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("nodes", T.BinaryType())])
+    # Without hot, keys and their rows; with hot, a key's first row and hash, or without keys its rows in the chunk.
+    sent = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("base", T.LongType()), T.StructField("hot", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("rows", T.BinaryType())])
     sent_arrow = to_arrow_schema(sent)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal keys, nodes, held
-            k, v = np.concatenate(keys), np.concatenate(nodes)
-            bucket = ((k >> U(32)) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, k, v = bucket[order], k[order].astype(np.uint32), v[order]
-            used, start = np.unique(bucket, return_index=True)
-            end = np.append(start[1:], len(bucket))
-            rows = [list(used), [k[s:e].tobytes() for s, e in zip(start, end)], [v[s:e].tobytes() for s, e in zip(start, end)]]
-            keys, nodes, held = [], [], 0
-            return _batch(rows, sent_arrow)
+    def chunk(base: int, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        k = np.concatenate([x for _, x in held])
+        v = np.repeat(np.array([r - base for r, _ in held], np.uint16), [len(x) for _, x in held])
+        k = ((k >> U(32)) % U(buckets)) << U(32) | k & U(0xFFFFFFFF)
+        order = np.argsort(k, kind="stable")
+        k, v = k[order], v[order]
+        start = np.nonzero(np.append(True, k[1:] != k[:-1]))[0]
+        length = np.diff(np.append(start, len(k)))
+        stay = np.ones(len(k), bool)
+        out: list[list] = [[], [], [], [], []]
+
+        def put(*row) -> None:
+            for c, x in zip(out, row):
+                c.append(x)
+
+        for s, n in zip(start[length >= hot_rows], length[length >= hot_rows]):
+            stay[s : s + n] = False
+            key, rows = int(k[s]), v[s : s + n].tobytes()
+            digest = blake2b(rows, digest_size=8, salt=base.to_bytes(8, "little")).digest()
+            put(key >> 32, base, key, digest, rows[:2])
+            put(int.from_bytes(digest[:4], "little") % buckets, base, key, None, rows)
+        k, v = k[stay], v[stay]
+        bucket = (k >> U(32)).astype(np.int64)
+        used, start = np.unique(bucket, return_index=True)
+        for b, s, e in zip(used, start, np.append(start[1:], len(k))):
+            put(int(b), base, None, k[s:e].astype("<u4").tobytes(), v[s:e].tobytes())
+        return _batch(out, sent_arrow)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        n = 0
         for batch in batches:
-            for node, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                k = block_keys(unpacked(data.as_py()))
-                keys.append(k)
-                nodes.append(np.full(len(k), node, np.int64))
-                held += len(k)
-                if held >= HELD_KEYS:
-                    yield flush()
-        if keys:
-            yield flush()
-
-    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("center", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))])
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and (n >= HELD_KEYS or not 0 <= row - held[0][0] < CHUNK_ROWS):
+                    yield chunk(held[0][0], held)
+                    held, n = [], 0
+                held.append((row, block_keys(unpacked(data.as_py()))))
+                n += len(held[-1][1])
+        if held:
+            yield chunk(held[0][0], held)
+
+    # ``hot`` is the key that rows await their group's number by, or with center null that a group's number is for.
+    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("hot", T.LongType()), T.StructField("center", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
 
     def group(table: pa.Table) -> pa.Table:
-        k = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32)
-        v = np.frombuffer(b"".join(table["nodes"].to_pylist()), np.int64)
+        out: list[list] = [[], [], [], []]
+
+        def put(*row) -> None:
+            for c, x in zip(out, row):
+                c.append(x)
+
+        def put_rows(number: int | None, hot: int | None, rows: np.ndarray) -> None:
+            for at in range(1, len(rows), CHUNK):
+                put(number, hot, rows[0], rows[at : at + CHUNK])
+
+        keys: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        rows: list[np.ndarray] = [np.zeros(0, np.int64)]
+        digests: dict[int, list[bytes]] = {}
+        for r in table.select(["base", "hot", "keys", "rows"]).to_pylist():
+            named = np.frombuffer(r["rows"], np.uint16).astype(np.int64) + r["base"]
+            if r["hot"] is not None and r["keys"] is None:
+                put_rows(None, r["hot"], named)
+                continue
+            if r["hot"] is not None:
+                digests.setdefault(r["hot"] & 0xFFFFFFFF, []).append(r["keys"])
+                r["keys"] = (r["hot"] & 0xFFFFFFFF).to_bytes(4, "little")
+            keys.append(np.frombuffer(r["keys"], "<u4"))
+            rows.append(named)
+        k, v = np.concatenate(keys), np.concatenate(rows)
         order = np.lexsort((v, k))
         k, v = k[order], v[order]
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])  # a node may come from several tasks
-        k, v = k[fresh], v[fresh]
-        start = np.nonzero(np.append(True, k[1:] != k[:-1]))[0]
-        end = np.append(start[1:], len(k))
-        rows: list[list] = [[], [], []]
+        start = np.nonzero(np.append(True, k[1:] != k[:-1]))[0] if len(k) else np.zeros(0, np.int64)
+        end = np.append(start[1:], len(k)).astype(np.int64)
         done = set()
-        for s, e in zip(start[end - start > 1], end[end - start > 1]):
-            number = int.from_bytes(blake2b(v[s:e].tobytes(), digest_size=8).digest(), "little", signed=True)
-            if number in done:
-                continue
-            done.add(number)
-            for at in range(s + 1, e, CHUNK):
-                rows[0].append(number)
-                rows[1].append(v[s])
-                rows[2].append(v[at : min(e, at + CHUNK)])
-        return pa.Table.from_batches([_batch(rows, arrow)])
-
-    dealt = sets.filter("elements is not null").select("node", "elements").mapInArrow(deal, sent)
-    return dealt.groupBy("bucket").applyInArrow(group, schema).withColumn("least", F.element_at("members", 1)).dropDuplicates(["group", "least"]).drop("least")
-
-
-def _near(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``column`` is in ``wanted`` (distinct, one column); broadcast if they are few."""
-    keys = wanted.select(F.col(wanted.columns[0]).alias("_k"))
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys
-    return rows.join(keys, rows[column] == keys["_k"], "left_semi")
-
-
-def verified(pairs: DataFrame, owners: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar, by their whole sets."""
-    nodes = staged(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(owners, "node"), "jaccard-nodes")
-    elements = _near(sets.filter("elements is not null").select("row", "n_shingles", "elements"), "row", nodes.select("row")).join(nodes, "row").select("node", "n_shingles", "elements")
-    left = pairs.join(elements.select(F.col("node").alias("u"), F.col("n_shingles").alias("n"), F.col("elements").alias("a")), "u")
-    both = left.join(elements.select(F.col("node").alias("v"), F.col("n_shingles").alias("m"), F.col("elements").alias("b")), "v")
+        high = table["bucket"][0].as_py() << 32
+        many = end - start > 1
+        if digests:
+            many |= np.isin(k[start], np.array(list(digests), np.uint32))
+        for s, e in zip(start[many], end[many]):
+            found = digests.get(int(k[s]), [])
+            number = int.from_bytes(blake2b(v[s:e].tobytes() + b"".join(sorted(found)), digest_size=8).digest(), "little", signed=True)
+            if found:
+                put(number, high | int(k[s]), None, None)
+            if number not in done:
+                done.add(number)
+                put_rows(number, None, v[s:e])
+        return pa.Table.from_batches([_batch(out, arrow)])
+
+    made = stages.write(sets.select("row", "elements").mapInArrow(deal, sent).groupBy("bucket").applyInArrow(group, schema), "found")
+    numbers = made.filter("center is null").select("hot", F.col("group").alias("number"))
+    apart = made.filter("group is null").join(numbers, "hot").select(F.col("number").alias("group"), "center", "members")
+    found = made.filter("group is not null and center is not null").select("group", "center", "members").union(apart)
+    return found.withColumn("least", F.element_at("members", 1)).dropDuplicates(["group", "center", "least"]).drop("least")
+
+
+def _near(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (row and more) that ``wanted`` (row, distinct) lists; broadcast if they are few."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "row", "left_semi")
+
+
+def grouped_sets(groups: DataFrame, sets: DataFrame, stages: Stages) -> DataFrame:
+    """The sets of all groups' rows, with small sketches: row, n, elements, sketch."""
+    rows = stages.write(groups.select(F.explode("members").alias("row")).union(groups.select("center")).distinct(), "rows")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            # As many bits as the power of two that holds the set.
+            short = [small_sketch(unpacked(d.as_py()), max(64, 1 << max(0, n - 1).bit_length())) for n, d in zip(x.column(1).to_pylist(), x.column(2))]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), pa.array(short, pa.binary())], names=["row", "n", "elements", "sketch"])
+
+    near = _near(sets.select("row", "n_shingles", "elements"), rows)
+    return near.mapInArrow(sketch, "row long, n long, elements binary, sketch binary")
+
+
+def verified(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs of rows (u, v) whose sets are similar, by their whole sets."""
+    elements = _near(near.select("row", "n", "elements"), pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
+    left = pairs.join(elements.select(F.col("row").alias("u"), "n", F.col("elements").alias("a")), "u")
+    both = left.join(elements.select(F.col("row").alias("v"), F.col("n").alias("m"), F.col("elements").alias("b")), "v")
     schema = "u long, v long"
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,21 +313,6 @@ def verified(pairs: DataFrame, owners: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, schema)
 
 
-def grouped_sketches(groups: DataFrame, owners: DataFrame, sets: DataFrame) -> DataFrame:
-    """The sizes and small sketches of the nodes of all groups: node, n, sketch."""
-    nodes = groups.select(F.explode("members").alias("node")).union(groups.select("center")).distinct()
-    nodes = staged(nodes.join(owners, "node"), "jaccard-nodes")
-    elements = _near(sets.filter("elements is not null").select("row", "node", "n_shingles", "elements"), "row", nodes.select("row"))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            # As many bits as the power of two that holds the set.
-            short = [small_sketch(unpacked(d.as_py()), max(64, 1 << max(0, n - 1).bit_length())) for n, d in zip(x.column(1).to_pylist(), x.column(2))]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(short, pa.binary())], names=["node", "n", "sketch"])
-
-    return elements.select("node", "n_shingles", "elements").mapInArrow(sketch, "node long, n long, sketch binary")
-
-
 class Sketches:
     """The sketches of a table's rows, by width, each also folded to half of it."""
 
@@ -307,12 +347,12 @@ def near_enough(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarra
     return distance * (ALIKE[1] + ALIKE[0]) <= (n + m) * (ALIKE[1] - ALIKE[0])
 
 
-def star_pairs(groups: DataFrame, sketches: DataFrame) -> DataFrame:
-    """For each node the smaller one with which it shares most groups, if their sketches are near enough."""
-    shared = groups.select("center", F.explode("members").alias("node")).groupBy("node", "center").count()
-    stars = shared.groupBy("node").agg(F.max_by("center", F.struct("count", (-F.col("center")).alias("c"))).alias("v")).withColumnRenamed("node", "u")
-    stars = stars.join(sketches.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u")), "u")
-    stars = stars.join(sketches.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v")), "v")
+def star_pairs(groups: DataFrame, near: DataFrame) -> DataFrame:
+    """For each row the one with which it shares most groups as their center, if their sketches are near enough."""
+    shared = groups.select("center", F.explode("members").alias("u")).groupBy("u", "center").count()
+    stars = shared.groupBy("u").agg(F.max_by("center", F.struct("count", (-F.col("center")).alias("c"))).alias("v"))
+    stars = stars.join(near.select(F.col("row").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u")), "u")
+    stars = stars.join(near.select(F.col("row").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v")), "v")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -326,15 +366,15 @@ def star_pairs(groups: DataFrame, sketches: DataFrame) -> DataFrame:
     return stars.select("u", "v", "n_u", "s_u", "n_v", "s_v").mapInArrow(check, "u long, v long")
 
 
-def remaining_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of a group's nodes in different components whose sketches are near enough; or only
+def remaining_pairs(groups: DataFrame, roots: DataFrame, near: DataFrame, stages: Stages, nearest: bool) -> DataFrame:
+    """Pairs of a group's rows in different components whose sketches are near enough; or only
     that with the nearest sketches of each component."""
     member = groups.select("group", F.explode("members").alias("node")).union(groups.select("group", F.col("center").alias("node")).distinct())
     member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     divided = member.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("held")).filter("a <> b").select("group", "held")
-    member = staged(member.join(divided, "group"), "jaccard-open")
+    member = stages.write(member.join(divided, "group"), "open")
     # A large group is compared block by block: a row meets its own block and every other once.
-    rows = member.join(sketches, "node").withColumn("blocks", F.ceil(F.col("held") / CELL_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = member.join(near.select(F.col("row").alias("node"), "n", "sketch"), "node").withColumn("blocks", F.ceil(F.col("held") / CELL_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.select(cell.alias("cell"), F.when(F.col("blocks") > 1, F.col("own") != F.col("other")).otherwise(False).alias("across"), "own", "node", "root", "n", "sketch")
@@ -411,50 +451,82 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     if there are none. Shingles are compared by 48 bits of a 64-bit hash.
     """
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        return _components(docs, width)
-
-
-def _components(docs: DataFrame, width: int) -> DataFrame:
-    spark = docs.sparkSession
-    sets = staged(document_sets(docs, width), "jaccard-sets")
-    owners = staged(sets.filter("elements is not null").groupBy("node").agg(F.min("row").alias("row")), "jaccard-owners")
-    groups = staged(block_groups(sets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "jaccard-groups")
-    sketches = staged(grouped_sketches(groups, owners, sets), "jaccard-sketches")
-    stars = staged(verified(staged(star_pairs(groups, sketches), "jaccard-stars"), owners, sets), "jaccard-links")
-    links, more = stars, True
+        return _components(docs, width).select("doc_id", "n_shingles", "component_id")
+
+
+def _links(sets: DataFrame, copies: DataFrame, stages: Stages) -> DataFrame:
+    """The root of each row that links join to others: node, root. ``copies`` (u, v) are links known from the start."""
+    sets = sets.filter("elements is not null").select("row", "n_shingles", "elements")
+    if copies.count() <= BROADCAST_ROWS:
+        # What a copy links to, its first row links to; where there are more, they go on as sets of their own.
+        sets = sets.join(F.broadcast(copies.select(F.col("u").alias("row"))), "row", "left_anti")
+    groups = stages.write(block_groups(sets, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), stages), "groups")
+    near = stages.write(grouped_sets(groups, sets, stages), "near")
+    stages.drop("sets", "found")
+    links, more = copies.union(stages.write(verified(stages.write(star_pairs(groups, near), "pairs"), near), "links")), True
     # Each component is tied to its nearest one while that brings links, which leaves few of a large group's pairs.
     for _ in range(NEAREST_ROUNDS):
-        roots = staged(connected_components(links), "jaccard-roots")
-        pairs = staged(remaining_pairs(groups, roots, sketches, nearest=True), "jaccard-pairs")
+        roots = stages.write(connected_components(links), "roots")
+        pairs = stages.write(remaining_pairs(groups, roots, near, stages, nearest=True), "pairs")
         if not (more := not pairs.isEmpty()):
             break
-        new = staged(verified(pairs, owners, sets), "jaccard-more")
+        new = stages.write(verified(pairs, near), "links")
         links = links.union(new)
         if new.count() * 10 < pairs.count():
             break
     # Pairs that were nearest and not similar may hide others: all that are left are compared.
     if more:
-        roots = staged(connected_components(links), "jaccard-roots")
-        pairs = staged(remaining_pairs(groups, roots, sketches, nearest=False), "jaccard-pairs")
-        links = links.union(staged(verified(pairs, owners, sets), "jaccard-more"))
-        roots = staged(connected_components(links), "jaccard-roots")
-    smallest = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    smallest = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labels = smallest.groupBy("root").agg(F.min("least").alias("component_id")).join(smallest.select("node", "root"), "root")
-    # Copies of one text may be a third of all rows: classes of one document, most of them, need no join.
-    out = sets.select("doc_id", "node", "n_shingles").join(labels.select("node", "component_id"), "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        roots = stages.write(connected_components(links), "roots")
+        pairs = stages.write(remaining_pairs(groups, roots, near, stages, nearest=False), "pairs")
+        links = links.union(stages.write(verified(pairs, near), "links"))
+    roots = stages.write(connected_components(links), "labels")
+    stages.drop("groups", "near", "rows", "pairs", "open", "links", "roots")
+    return roots
+
+
+def _components(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and class, a number that the documents of a component share."""
+    stages = Stages(docs.sparkSession, "jaccard")
+    sets = stages.write(document_sets(docs, width), "sets")
+    # The first row of a node in each task has its set, so that the first of all has it.
+    each = stages.write(sets.select("doc_id", "text_hash", "row", "node", "n_shingles", F.col("elements").isNotNull().alias("held")), "documents")
+    nodes = each.filter("node is not null").groupBy("node").agg(F.min("row").alias("owner"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count_if("held").alias("n_held"))
+    nodes = stages.write(nodes, "nodes")
+    copies = each.filter("held").join(nodes.filter("n_held > 1").select("node", "owner"), "node").filter("row <> owner")
+    roots = _links(sets, stages.write(copies.select(F.col("row").alias("u"), F.col("owner").alias("v")), "copies"), stages)
+    linked = stages.write(nodes.join(roots, nodes.owner == roots.node).select(nodes.node, "least", "root", F.col("n").alias("documents")), "linked")
+    smallest = stages.write(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "smallest")
+    # The nodes of one component may be a third of all, and so may be the documents of one text.
+    linked = join_each(linked, smallest, "root", "node", stages).select("node", "component_id", F.col("root").alias("class"), F.col("documents").alias("n"))
+    alone = nodes.filter("n > 1").join(roots, nodes.owner == roots.node, "left_anti").select("node", F.col("least").alias("component_id"), F.col("owner").alias("class"), "n")
+    labels = stages.write(linked.union(alone), "classes")
+    # Documents whose text is of one document alone, most of them, find no label; those without words don't look for one.
+    columns = ("doc_id", "text_hash", "n_shingles")
+    out = join_each(each.filter("node is not null"), labels, "node", "row", stages, "left")
+    out = out.select(*columns, F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id"), F.coalesce("class", "row").alias("class"))
+    return out.union(each.filter("node is null").select(*columns, F.col("doc_id").alias("component_id"), F.col("row").alias("class")))
 
 
 def deduplicated(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents without those that a smaller doc_id of their component stands for, with all columns.
+    """One document of each group of near-duplicates, that with the smallest doc_id, with all columns.
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id and documents without words stay.
+    Of a group's rows that repeat that doc_id, one stays: with the text of the smallest hash. Rows are told apart by doc_id and
+    text, so that other texts under a doc_id that goes stay. Rows without doc_id and documents without words stay.
     """
-    labels = staged(near_duplicates(docs, width), "jaccard-labels")
-    gone = staged(labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    few = gone.count() <= BROADCAST_NODES
-    kept = docs.join(F.broadcast(gone) if few else gone, docs.doc_id == gone["_gone"], "left_anti")
-    if labels.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        stages = Stages(docs.sparkSession, "deduplicated")
+        labels = stages.write(_components(docs, width), "labels")
+        gone = labels.filter("doc_id <> component_id").select("doc_id", "text_hash")
+        # Groups whose smallest doc_id is that of several rows.
+        first = labels.filter("doc_id = component_id and n_shingles > 0").groupBy("class", "doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("kept_hash")).filter("n > 1")
+        first = stages.write(first.select("class", "doc_id", "kept_hash"), "repeated")
+        other = labels.join(first, ["class", "doc_id"]).filter("text_hash <> kept_hash").select("doc_id", "text_hash")
+        gone = stages.write(gone.union(other).distinct().select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")), "gone")
+        rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+        few = gone.count() <= BROADCAST_ROWS
+        kept = rows.join(F.broadcast(gone) if few else gone, (F.col("_id") == F.col("_gone")) & (F.col("_text") == F.col("_hash")), "left_anti")
+        if not first.isEmpty():
+            same = first.select(F.col("doc_id").alias("_id"), F.col("kept_hash").alias("_text"))
+            once = kept.join(same, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_doc")
+            return kept.join(same, ["_id", "_text"], "left_anti").select("_doc").union(once).select("_doc.*")
+        return kept.select("_doc.*")

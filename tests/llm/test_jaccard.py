@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sylva.llm import components
+from sylva.llm import common, components
 from sylva.llm import jaccard as J
 from sylva.llm.components import connected_components
 
@@ -65,7 +65,7 @@ def test_against_all_pairs(documents, seed):
 def test_small_cells_and_no_rounds_lose_nothing(documents, monkeypatch):
     monkeypatch.setattr(J, "CELL_ROWS", 8)
     monkeypatch.setattr(J, "CHUNK", 3)
-    monkeypatch.setattr(J, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(components, "FEW_EDGES", 0)
     rows = corpus(7)
     assert got(documents(rows)) == expected(rows)
@@ -83,6 +83,26 @@ def test_edges(documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, (4, 5, 6, 7, 8, 2, 1, 0, None)))
 
 
+def test_rows_that_repeat_a_doc_id(documents):
+    x = " ".join(f"a{i}" for i in range(60))
+    rows = [(0, x), (1, x), (1, "unrelated"), (1, "unrelated"), (2, "z"), (2, x + " more"), (3, ""), (3, ""), (None, x), (0, x + " end")]
+    kept = J.deduplicated(documents([(d, t, "en", "s") for d, t in rows], extra=True)).collect()
+    got = sorted((str(r.doc_id), r.text) for r in kept)
+    of_x = [t for d, t in got if d == "0"]
+    assert len(of_x) == 1 and of_x[0] in (x, x + " end")
+    assert [g for g in got if g[0] != "0"] == sorted([("1", "unrelated"), ("2", "z"), ("3", ""), ("3", ""), ("None", x)])
+
+
+def test_frequent_keys_lose_nothing(documents, monkeypatch):
+    """Every key that three rows of a chunk share travels apart."""
+    monkeypatch.setattr(J.block_groups, "__defaults__", (J.BUCKET_KEYS, 3))
+    monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(J, "CHUNK_ROWS", 7)
+    for seed in (11, 12):
+        rows = corpus(seed)
+        assert got(documents(rows).repartition(3)) == expected(rows)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(1)
     for n in (1, 2, 3, 5, 8, 17, 60, 500, 3000):
