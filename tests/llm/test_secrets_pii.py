@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import re
+import time
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,8 +81,6 @@ def test_random_parts_of_readable_runs():
 
 
 def test_scans_are_linear():
-    import time
-
     began = time.time()
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1" * 150_000, "ab12" * 75_000, "token " * 50_000, "1-" * 150_000):
         pii.base_spans(text)
@@ -118,9 +119,10 @@ def test_terms_that_disclose(documents):
     few = {r.doc_id: r.s for r in pii.personal_spans(df).select("doc_id", joined("spans").alias("s")).collect()}
     assert few[3000] == "term:10:23" and few[2000] == "email:24:36" and few[3001] == "" and few[0] == ""
     assert "email" in few[1000] and "term" in few[1000]
-    many = {r.doc_id: r.s for r in pii.personal_spans(df, broadcast_terms=0).select("doc_id", joined("spans").alias("s")).collect()}
+    many = {r.doc_id: r.s for r in pii.personal_spans(df, broadcast_rows=0).select("doc_id", joined("spans").alias("s")).collect()}
     assert many == few  # by a join instead
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert clean == {r.doc_id: r.text for r in pii.sanitised(df, broadcast_rows=0).collect()}
     assert clean[3000] == "Here goes  alone" and "bob@" not in clean[1000] and clean[2000] == "alpha beta uniquelyword [EMAIL] gamma delta"
 
 
@@ -150,5 +152,75 @@ def test_shares_are_of_texts_on_both_sides(documents):
     assert found["zanzibarovich"] == (10, 10)
 
 
+def plain_disclosing(texts, window=8, least_share=0.9, least_bits=4.0):
+    """The estimate over all pairs of an entity and a term, by sets of texts."""
+    texts = {t or "" for t in texts}
+    holds, near, having = {}, {}, {}
+    for t in texts:
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,40}", t)]
+        for _, _, w in words:
+            having.setdefault(w, set()).add(t)
+        for kind, s, e in plain_pii(t):
+            value = t[s:e].lower() if kind == "email" else t[s:e] if kind == "ip" else re.sub("[^0-9]", "", t[s:e])
+            holds.setdefault((kind, value), set()).add(t)
+            for _, _, w in [x for x in words if x[1] <= s][-window:] + [x for x in words if x[0] >= e][:window]:
+                near.setdefault(((kind, value), w), set()).add(t)
+    out = {}
+    for (entity, w), beside in near.items():
+        both, docs = len(holds[entity] & having[w]), len(having[w])
+        if len(beside) > 1 and (share := (both - 1) / (docs - 1)) >= least_share and math.log2(share * (len(texts) + 1) / (len(holds[entity]) + 1)) >= least_bits:
+            out[w, both, docs] = out.get((w, both, docs), 0) + 1
+    return out
+
+
+def test_terms_against_a_plain_estimate(documents):
+    r = random.Random(9)
+    letters = ["a", "b", "é", "ß", "İ", "Ж", "²", "Ⅷ", "中", "ａ", "_", "7"]
+    words = ["".join(r.choice(letters[:9] if r.random() < 0.8 else letters) for _ in range(r.randrange(3, 8))) for _ in range(300)]
+    entities = ["bob@mail.org", "Ann@Mail.org", "10.0.0.7", "+1 555 0100 77", "4111 1111 1111 1111", "kim@x.io", *(f"u{i}@mail.org" for i in range(30))]
+    rows = []
+    for i in range(400):
+        text = [r.choice(words) for _ in range(r.choice([3, 12, 40]))]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            who = r.randrange(len(entities))
+            # Short words, which are no terms, lie between the entity and its companion.
+            text[r.randrange(len(text)) : 0] = [f"Companion{'İßé中ЖⅧ'[who % 6]}{'xyzuvw'[who // 6] * 3}", *(["ab"] * r.choice([0, 5, 400])), entities[who].upper() if r.random() < 0.3 and who == 1 else entities[who]]
+        rows.append((i, " ".join(text), "en", "s"))
+    rows += [(1000 + i, rows[r.randrange(400)][1], "en", "s") for i in range(150)] + [(2000, None, None, None), (2001, "", "en", "s")]
+    want = plain_disclosing([t for _, t, *_ in rows])
+    assert len(want) > 3
+    df = documents(rows, extra=True).repartition(5)
+    spans = []
+    for most in (pii.BROADCAST_ROWS, 0):
+        found = pii.disclosing_terms(df, broadcast_rows=most).collect()
+        assert Counter((t.term, t.n_both, t.n_docs) for t in found) == want
+        spans.append({x.doc_id: x.s for x in pii.personal_spans(df, broadcast_rows=most).select("doc_id", joined("spans").alias("s")).collect()})
+    assert spans[0] == spans[1] and any("term" in s for s in spans[0].values())
+    terms = {w for w, _, _ in want}
+    for doc_id, text, *_ in rows:
+        base = plain_pii(text or "")
+        more = [("term", *m.span()) for m in re.finditer(r"[^\W\d_]{4,40}", text or "") if m[0].lower() in terms and not any(s < m.end() and m.start() < e for _, s, e in base)]
+        assert spans[0][doc_id] == ",".join(f"{k}:{s}:{e}" for k, s, e in base + more)
+
+
+def test_very_many_spans_in_one_text():
+    began = time.time()
+    text = " ".join(f"Companion u{i}@mail.org token=abcdef{i:06} {i % 250}.1.1.1" for i in range(100_000))
+    assert len(pii.spans_with(text, {"companion"})) == 300_000
+    assert len(secrets.secret_finder()(text)) >= 100_000
+    assert len(list(pii.nearby(text, pii.base_spans(text)[:100_000], 8))) > 1_000_000
+    assert time.time() - began < 60
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    find = secrets.secret_finder()
+    began = time.time()
+    for run in ("ab-" * 1_000 + "a9Z", "ab-" * 100_000 + "a9Z", "a" * 200_000, "aZ9" * 60_000, "x_" * 100_000, "/a" * 100_000, "0f" * 100_000, "A" * 100_000 + "=" * 100_000):
+        find(f"x {run} y")
+    assert time.time() - began < 60
+
+
 def test_empty_table(documents):
     assert pii.personal_spans(documents([])).count() == 0
+    assert pii.sanitised(documents([])).count() == 0
+    assert pii.personal_spans(documents([]), broadcast_rows=0).count() == 0

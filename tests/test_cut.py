@@ -1,8 +1,9 @@
-"""The cut against a plain recursive statement of its rule, on made and on random trees."""
+"""The cut held against the properties that define it, on a made tree and on random ones."""
 
 from __future__ import annotations
 
 import random
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,128 +13,129 @@ from sylva.operators.cut import with_parts
 from sylva.operators.parts import part_index, parts_holding, rebuilt_paths, stems, with_node_ids
 from sylva.operators.tree import entries_of
 
-BUDGETS = (0, 1, 50, 150, 300, 700, 1500, 4000, 20000, 1 << 62)
-
 
 def key(path):
     return path.encode().split(b"/")
 
 
-def expected(kinds: dict[str, str], budget: int) -> list[list[str]]:
-    """kinds: kind by path. The rule told directly: paths of each part, in walk order."""
-    below: dict[str, list[str]] = {}
-    for path in sorted(kinds, key=key):
-        below.setdefault(path.rpartition("/")[0], []).append(path)
-
-    def own(path):
-        return ESTIMATES[kinds[path]] + len(path.rpartition("/")[2].encode())
-
-    def inside(path):
-        return [path] + [x for child in below.get(path, []) for x in inside(child)]
-
-    parts, waiting = [], []
-
-    def close(run):
-        nonlocal waiting
-        parts.append(waiting + run)
-        waiting = []
-
-    def divide(directory):
-        run, used = [], 0
-        for child in below.get(directory, []):
-            rows = inside(child)
-            size = sum(map(own, rows))
-            if kinds[child] == "directory" and size > budget:
-                if run:
-                    close(run)
-                run, used = [], 0
-                waiting.append(child)
-                divide(child)
-                if waiting and waiting[-1] == child:
-                    close([])
-            else:
-                if run and used + size > budget:
-                    close(run)
-                    run, used = [], 0
-                run, used = run + rows, used + size
-        if run:
-            close(run)
-
-    divide("")
-    return parts
+def uppers(path):
+    """All directories above a path, outermost first; the root is the empty path."""
+    names = path.split("/")
+    return ["/".join(names[:i]) for i in range(len(names))]
+
+
+class Measures:
+    """What the rule speaks of: weights of rows, sums below directories, which are divided, and units."""
+
+    def __init__(self, kinds: dict[str, str], budget: int):
+        self.weight = {p: ESTIMATES[k] + len(p.rsplit("/", 1)[-1].encode()) for p, k in kinds.items()}
+        self.below = dict.fromkeys(kinds, 0)
+        for p, w in self.weight.items():
+            for d in (*uppers(p)[1:], p):
+                self.below[d] += w
+        self.divided = {p for p, k in kinds.items() if k == "directory" and self.below[p] > budget}
+
+    def unit(self, path):
+        """The outermost entry at or above a path that isn't divided; None for a divided directory."""
+        return next((p for p in (*uppers(path)[1:], path) if p not in self.divided), None)
+
+
+def holds(kinds: dict[str, str], budget: int, parts: list[list[str]]) -> None:
+    """Parts (paths in walk order) are the ones that the rule allows. Each check alone is about one cut, and together
+    they leave no choice."""
+    m = Measures(kinds, budget)
+    assert [p for part in parts for p in part] == sorted(kinds, key=key), "parts follow each other in walk order, and none is empty"
+    made_of = []
+    for part in parts:
+        units = list(dict.fromkeys(u for p in part if (u := m.unit(p)) is not None))
+        heads = [p for p in part if p in m.divided]
+        assert part[: len(heads)] == heads, "divided directories only open a part"
+        assert len({u.rpartition("/")[0] for u in units}) <= 1, "the units of a part are siblings"
+        assert all(a in uppers(b) for a, b in pairwise([*heads, *units[:1]])), "heads lead down to the first unit"
+        assert sum(m.below[u] for u in units) <= budget or len(units) == 1, "only a unit alone passes the budget"
+        if not units:
+            assert not any(p.startswith(heads[-1] + "/") for p in kinds), "a part without units is a bare divided directory"
+        made_of.append((heads, units))
+    where = {u: i for i, (_, units) in enumerate(made_of) for u in units}
+    for p in kinds:
+        if (u := m.unit(p)) is not None:
+            assert p in parts[where[u]], "a unit is in one part as a whole"
+    for (_, before), (heads, after) in pairwise(made_of):
+        if before and after and not heads and before[0].rpartition("/")[0] == after[0].rpartition("/")[0]:
+            passed = [d for d in m.divided if key(before[-1]) < key(d) < key(after[0])]
+            full = sum(m.below[u] for u in before) + m.below[after[0]] > budget
+            assert passed or full, "a run ends only where the next unit doesn't fit or a divided sibling comes between"
 
 
 def made(spark, kinds):
-    rows = [(p, k) for p, k in kinds.items()]
-    return entries_of(spark.createDataFrame(rows, "path string, kind string"))
-
-
-def wide():
-    kinds = {}
-
-    def put(path, kind="file"):
-        kinds[path] = kind
-        while "/" in path:
-            path = path.rpartition("/")[0]
-            kinds.setdefault(path, "directory")
-
-    for depth in range(8):
-        put("chain/" + "/".join(f"l{i}" for i in range(depth)) + "/leaf" if depth else "chain/leaf")
-    for i in range(40):
-        put(f"flat/file{i:03}.dat")
-    for g in ("a", "a!", "a.b", "b", "é"):
-        for i in range(5):
-            put(f"{g}/f{i}")
-            put(f"{g}/inner/g{i}")
-    put("empty/also_empty", "directory")
-    put("dangling", "symlink")
-    put("a.txt")
+    return entries_of(spark.createDataFrame(list(kinds.items()), "path string, kind string"))
+
+
+def museum() -> dict[str, str]:
+    """Halls of unequal size, a staircase, names that sort unlike their paths, a bare cellar, and links."""
+    files = [f"halls/{hall}/{room}/{n * 7 % 100:02}-{'x' * (n % 5)}.obj" for hall, rooms in (("east", 3), ("north", 1), ("west", 5)) for room in "pqrst"[:rooms] for n in range(4 + rooms)]
+    files += ["stairs/" + "".join(f"step{i}/" for i in range(n)) + f"rail{n}" for n in range(9)]
+    files += [f"{shelf}/{side}book{n}" for shelf in ("m", "m-", "m.1", "m0", "ñ") for side in ("", "back/") for n in range(3)]
+    files += [f"catalogue/card{n:04}" for n in range(35)] + ["guide"]
+    kinds = dict.fromkeys(files, "file") | {"way-out": "symlink", "halls/way-up": "symlink", "cellar/locked": "directory"}
+    for path in list(kinds):
+        kinds |= {d: "directory" for d in uppers(path)[1:]}
     return kinds
 
 
-def check(spark, kinds, budgets):
+def budgets(kinds):
+    """Below any row, at and beside some of the tree's own sums, and above the whole."""
+    sums = sorted(set(Measures(kinds, 0).below.values()))
+    picked = {sums[len(sums) * i // 6] for i in range(6)}
+    return sorted({0, 3, *picked, *(x - 1 for x in picked), sums[-1] + 1, 1 << 61})
+
+
+def check(spark, kinds, chosen):
     entries = made(spark, kinds)
-    for budget in budgets:
-        rows = with_parts(entries, budget).select("part_no", "path").collect()
+    for budget in chosen:
         got: dict[int, list[str]] = {}
-        for r in rows:
+        for r in with_parts(entries, budget).select("part_no", "path").collect():
             got.setdefault(r.part_no, []).append(r.path)
-        assert [sorted(got[n], key=key) for n in range(len(got))] == expected(kinds, budget), budget
+        holds(kinds, budget, [sorted(got[n], key=key) for n in range(len(got))])
 
 
-def test_wide_tree_at_all_budgets(spark):
-    check(spark, wide(), BUDGETS)
+def test_made_tree_at_many_budgets(spark):
+    check(spark, museum(), budgets(museum()))
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_random_trees(spark, seed):
-    r = random.Random(seed)
-    kinds, directories = {}, [""]
-    for _ in range(80):
-        parent = r.choice(directories)
-        path = f"{parent}/" * bool(parent) + r.choice(["a", "a!", "a.b", "b", "é", "x" * 30]) + str(r.randrange(99))
-        kinds[path] = r.choice(["file", "directory", "directory", "symlink"])
-        if kinds[path] == "directory":
-            directories.append(path)
-    kinds = {p: k for p, k in kinds.items() if all(kinds.get(p.rsplit("/", i)[0], "directory") == "directory" for i in range(1, p.count("/") + 1))}
-    check(spark, kinds, (0, 120, 400, 1500))
+    pick = random.Random(100 + seed)
+    kinds: dict[str, str] = {}
+    for _ in range(70):
+        above = pick.choice(["", *(f"{p}/" for p, k in kinds.items() if k == "directory")])
+        name = pick.choice(["k", "k-", "k.q", "ñ", "l" * 25]) + str(pick.randrange(40))
+        kinds.setdefault(above + name, pick.choices(["directory", "file", "symlink"], (4, 3, 1))[0])
+    check(spark, kinds, budgets(kinds)[::3])
+
+
+def test_the_properties_refuse_other_cuts():
+    kinds = {"a": "file", "b": "file", "c": "directory", "c/d": "file"}
+    holds(kinds, 300, [["a", "b"], ["c", "c/d"]])
+    for wrong in ([["a"], ["b"], ["c", "c/d"]], [["a", "b", "c", "c/d"]], [["a", "b", "c"], ["c/d"]], [["a", "b"], ["c/d", "c"]], [["a", "b"]]):
+        with pytest.raises(AssertionError):
+            holds(kinds, 300, wrong)
 
 
 def test_node_ids_rebuild_all_paths(spark):
-    kinds = wide()
-    numbered = with_node_ids(with_parts(made(spark, kinds), 300))
-    assert sorted(r.path for r in rebuilt_paths(numbered).collect()) == sorted(kinds)
+    numbered = with_node_ids(with_parts(made(spark, museum()), 320))
+    assert sorted(r.path for r in rebuilt_paths(numbered).collect()) == sorted(museum())
 
 
 def test_stem_is_what_lies_above_the_first_row(spark):
-    for r in stems(with_parts(made(spark, wide()), 300)).collect():
+    for r in stems(with_parts(made(spark, museum()), 320)).collect():
         assert "/".join(r.stem) == r["first"].rpartition("/")[0]
 
 
 def test_lookup_finds_every_part_of_a_directory(spark):
-    parted = with_parts(made(spark, wide()), 300).cache()
+    parted = with_parts(made(spark, museum()), 320).cache()
     index = part_index(parted).cache()
-    for d in ("flat", "a", "a!", "a.b/inner", "chain/l0", "empty/also_empty"):
+    for d in ("catalogue", "m", "m-", "m.1/back", "stairs/step0", "cellar/locked"):
         may = {r.part_no for r in parts_holding(index, F.lit(d)).collect()}
         has = {r.part_no for r in parted.filter((F.col("path") == d) | F.col("path").startswith(d + "/")).collect()}
         assert has <= may and len(may) <= len(has) + 2
