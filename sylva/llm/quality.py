@@ -1,10 +1,15 @@
-"""Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k."""
+"""Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
+
+The sum of a whole document's log ratios grows with its length, to hundreds, beside which Gumbel noise of
+spread 1.3 decides nothing. Weights are tempered, therefore: a document weighs as an excerpt of
+``sharpness`` of its n-grams does on average.
+"""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylva.llm.common import staged
+from sylva.llm.common import Stages
 
 #: Words and single marks.
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -22,6 +27,8 @@ BUCKETS = 1 << 16
 LABELLED_ROWS = 20_000
 #: Documents whose n-grams are counted together.
 COUNTED = 256
+#: N-grams of the excerpt that a document weighs as.
+SHARPNESS = 32.0
 #: Distinct tokens whose hash a worker keeps.
 CACHED = 1 << 17
 ODD_1, ODD_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -75,23 +82,23 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, only: frozenset | None = None) -> DataFrame:
-    """The documents with ``log_weight``, the sum of their n-grams' log ratios; ``only`` those ids, if given."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())])
+def weighted(docs: DataFrame, ratios: np.ndarray, sharpness: float = SHARPNESS) -> DataFrame:
+    """The rows (doc_id, text and more) without ``text``, with ``log_weight``: ``sharpness`` times the mean log ratio of the text's n-grams, 0 without any."""
+    names = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("log_weight", T.DoubleType())])
     arrow = to_arrow_schema(schema)
-    names = docs.columns
-    at, key = names.index("text"), names.index("doc_id")
-    sent = docs.sparkSession.sparkContext.broadcast((ratios, only))
+    sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ratio, ids), hashes = sent.value, _Hashes()
+        ratio, hashes = sent.value, _Hashes()
         for batch in batches:
-            if ids is not None:
-                batch = batch.filter(pa.array([x in ids for x in batch.column(key).to_pylist()], pa.bool_()))
-            weight = [float(ratio[features(t.as_py() or "", hashes, len(ratio))].sum()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight, pa.float64())], schema=arrow)
+            weight = []
+            for t in batch.column(len(names)):
+                found = features(t.as_py() or "", hashes, len(ratio))
+                weight.append(sharpness * float(ratio[found].sum()) / max(1, len(found)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(weight, pa.float64())], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*names, "text").mapInArrow(run, schema)
 
 
 def gumbel_key(doc_id: Column, log_weight: Column, seed: int = 11) -> Column:
@@ -104,10 +111,9 @@ def gumbel_key(doc_id: Column, log_weight: Column, seed: int = 11) -> Column:
 def kth_largest(keys: DataFrame, k: int, unit: float = 1e-6) -> float:
     """A threshold that the k largest of ``key`` reach, in whole ``unit``; counted by bits, not sorted.
 
-    Each round counts the keys of the bucket where the k-th lies in 4,096 finer ones."""
+    Each round counts the keys of the bucket where the k-th lies in 4,096 finer ones; ``keys`` should be a table that was written."""
     rows = keys.select(F.round(F.greatest(F.least(F.col("key"), F.lit(1e8)), F.lit(-1e8)) / unit).cast("long").alias("q"))
-    rows, inside = staged(rows, "quality-keys"), F.lit(True)
-    bucket = 0
+    inside, bucket = F.lit(True), 0
     for shift in (36, 24, 12, 0):
         counts = rows.filter(inside).groupBy(F.shiftright("q", shift).alias("b")).count().orderBy(F.desc("b")).collect()
         for r in counts:
@@ -119,49 +125,56 @@ def kth_largest(keys: DataFrame, k: int, unit: float = 1e-6) -> float:
     return (bucket - 0.5) * unit
 
 
-def _calibrated(keys: list[tuple[float, int]], good_weight: float = 3.0) -> float:
-    """The threshold with the largest sum of the share of bad documents rejected and, ``good_weight``
-    times, of good ones kept: to lose a good document costs more. -inf without both kinds."""
-    good, bad = sorted(x for x, q in keys if q), sorted(x for x, q in keys if not q)
+def calibrated(weights: list[tuple[float, int]], good_weight: float = 3.0, slack: float = 0.03) -> float:
+    """The log weight that separates good (1) from bad (0): -inf without both kinds.
+
+    Thresholds are worth the share of bad documents below and, ``good_weight`` times, of good ones above: to lose a good
+    document costs more. Many are worth nearly the same, as few documents lie between; the middle of those within ``slack`` of the best is
+    farthest from either kind."""
+    good, bad = sorted(x for x, q in weights if q), sorted(x for x, q in weights if not q)
     if not good or not bad:
         return float("-inf")
-    values = np.array(sorted({x for x, _ in keys}))
+    values = np.array(sorted({x for x, _ in weights}))
     cuts = np.concatenate([[values[0] - 1], (values[:-1] + values[1:]) / 2])
     kept = 1 - np.searchsorted(good, cuts) / len(good)
     gone = np.searchsorted(bad, cuts) / len(bad)
-    return float(cuts[np.argmax(good_weight * kept + gone)])
+    worth = good_weight * kept + gone
+    best = cuts[worth >= worth.max() * (1 - slack)]
+    return float((best[0] + best[-1]) / 2)
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled_rows: int = LABELLED_ROWS, buckets: int = BUCKETS, seed: int = 11, with_keys: bool = True) -> DataFrame:
-    """The documents that importance resampling keeps, with all their columns and, ``with_keys``, also ``log_weight`` and
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled_rows: int = LABELLED_ROWS, buckets: int = BUCKETS, seed: int = 11, sharpness: float = SHARPNESS, columns: Sequence[str] | None = None, with_keys: bool = True) -> DataFrame:
+    """The documents that importance resampling keeps, with all their columns, or ``columns``, and, ``with_keys``, also ``log_weight`` and
     ``key``, which replace columns of those names.
 
     The raw model counts the hashed n-grams of all documents, the target model those of documents
     labelled good (doc_id, quality 0 or 1), of at most ``labelled_rows`` labelled rows. A document's
-    log weight is log p_target - log p_raw over its n-grams; Gumbel noise fixed by its id is added, and
-    the k largest keys stay. Without ``k``, it is the number of documents above the
-    threshold that best separates good from bad among labelled documents that the target model
-    didn't see. Keys that tie with the last all stay, so do rows that repeat a doc_id together.
+    log weight is ``sharpness`` times the mean of log p_target - log p_raw over its n-grams; Gumbel noise fixed by its id is added, and
+    the k largest keys stay. Without ``k``, it is the number of documents whose log weight is above the
+    threshold that separates good from bad among labelled documents that the target model
+    didn't see. Keys that tie with the last all stay, so do rows that repeat a doc_id and a text together.
 
-    Null and empty texts weigh 0. Without good or without bad labels nothing is known, and all stay.
+    Texts are read twice: for the models, and for the keys. Null and empty texts weigh 0. Without good or without bad
+    labels nothing is known, and all stay.
     """
     known = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
     known = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(labelled_rows).collect()
     train = frozenset(r.doc_id for r in known[::2] if r.quality == 1)
     held = {r.doc_id: r.quality for r in known[1::2]}
+    stages = Stages(docs.sparkSession, "quality")
     ratios = log_ratios(bucket_counts(docs, train, buckets), buckets)
     # The documents' own columns travel in one, so that none clashes.
-    names, docs = docs.columns, docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
-    key = gumbel_key(F.col("doc_id"), F.col("log_weight"), seed)
-    scored = weighted(docs, ratios).withColumn("key", key)
+    names = list(columns or docs.columns)
+    rows = docs.select("doc_id", F.struct(*names).alias("_doc"), "text")
+    scored = weighted(rows, ratios, sharpness).withColumn("key", gumbel_key(F.col("doc_id"), F.col("log_weight"), seed))
+    scored = stages.write(scored, "scored")
+    if k is None and train:
+        tried = docs.sparkSession.createDataFrame(list(held.items()), "doc_id long, quality int")
+        found = scored.join(F.broadcast(tried), "doc_id").select("doc_id", "log_weight", "quality").dropDuplicates(["doc_id"]).collect()
+        cut = calibrated([(r.log_weight, r.quality) for r in found])
+        k = scored.filter(F.col("log_weight") >= cut).count() if cut > float("-inf") else None
     if k is not None:
-        threshold = kth_largest(scored, k) if k > 0 else float("inf")
-    elif not train:
-        threshold = float("-inf")
-    else:
-        rows = weighted(docs.select("doc_id", "text"), ratios, frozenset(held)).select("doc_id", key.alias("key")).dropDuplicates(["doc_id"]).collect()
-        threshold = _calibrated([(r.key, held[r.doc_id]) for r in rows])
-    scored = scored.filter(F.col("key") >= threshold)
+        scored = scored.filter(F.col("key") >= (kth_largest(scored, k) if k > 0 else float("inf")))
     if not with_keys:
         return scored.select("_doc.*")
     return scored.select(*[F.col("_doc")[c].alias(c) for c in names if c not in ("log_weight", "key")], "log_weight", "key")

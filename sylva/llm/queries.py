@@ -73,8 +73,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return kept.select("doc_id", "log_weight", "key")
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=("doc_id",))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
