@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,12 +21,14 @@ WIDTH = max(f[3] for f in FILTERS)
 #: The thresholds that make two bits of a filter's log ratio, and their Gray code.
 CUTS = np.array([-0.12, 0.0, 0.12])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-#: Steps of a scaled frame's values; recordings whose prints are made together.
-ROUNDED, TOGETHER = 1 << 20, 64
+#: Steps of a scaled frame's values; frames whose prints are made together, about.
+ROUNDED, TOGETHER = 1 << 20, 1 << 16
 #: The offsets of a fingerprint value that occurs more often in a recording are counted by FFT.
 MOST_PLACES = 16
-#: Values of which the one with the least hash is a landmark.
-LANDMARK_WINDOW = 8
+#: Distinct values of a recording that are its landmarks at least, if it has as many, and how many times as many are looked up.
+LANDMARKS, WIDENED = 32, 4
+#: Landmarks looked up that are sent to every executor at most, about 30 MB; more are joined.
+BROADCAST_ROWS = 500_000
 
 
 def chroma_frames(samples: np.ndarray, rate: int = 11025, frame: int = 4096, hop: int = 1365, lowest: float = 28.0, highest: float = 3520.0) -> np.ndarray:
@@ -49,7 +50,7 @@ def voiced_frames(text: str | None, hop: int = 2, window: int = 12) -> np.ndarra
     notes = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     if len(notes) < window:
         return np.zeros((0, PITCHES))
-    sums = np.zeros((len(notes) + 1, PITCHES), np.float32)
+    sums = np.zeros((len(notes) + 1, PITCHES), np.int32)
     sums[np.arange(1, len(notes) + 1), notes * 7 % PITCHES] = 1
     np.cumsum(sums, axis=0, out=sums)
     starts = np.arange(0, len(notes) - window + 1, hop)
@@ -57,8 +58,9 @@ def voiced_frames(text: str | None, hop: int = 2, window: int = 12) -> np.ndarra
 
 
 def fingerprint(frames: np.ndarray) -> np.ndarray:
-    """One 32-bit integer for each place where all filters fit: the quantised answers of the filters."""
-    return fingerprint_many([frames])[0]
+    """One 32-bit integer for each place where all filters fit: the quantised answers of the filters. Long recordings are taken in stretches."""
+    parts = [fingerprint_many([frames[at : at + TOGETHER + WIDTH - 1]])[0] for at in range(0, max(1, len(frames)), TOGETHER)]
+    return np.concatenate(parts)
 
 
 def fingerprint_many(recordings: list[np.ndarray]) -> list[np.ndarray]:
@@ -97,15 +99,19 @@ def fingerprint_many(recordings: list[np.ndarray]) -> list[np.ndarray]:
     return [out[s : max(s, s + size - WIDTH + 1)] for s, size in zip(starts, sizes)]
 
 
-def landmarks(values: np.ndarray, window: int = LANDMARK_WINDOW) -> np.ndarray:
-    """The distinct values that have the least hash of any ``window`` in a row: equal stretches share them."""
-    if not len(values):
-        return values
-    hashed = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
-    if len(values) <= window:
-        return values[[hashed.argmin()]]
-    view = np.lib.stride_tricks.sliding_window_view(hashed, window)
-    return np.unique(values[np.unique(view.argmin(axis=1) + np.arange(len(view)))])
+def landmarks(values: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The landmarks among a print's values, with the first and last place of each.
+
+    Those are the distinct values whose hash ends in so many zero bits that ``LANDMARKS`` or up to twice as many stay, about: an equal value
+    in two recordings is a landmark of both, whatever lies around it, and of a longer one only if of a shorter one. ``times`` (a power of two) asks for as many more."""
+    found = np.unique(values)
+    order = np.argsort(values, kind="stable")
+    first = order[np.searchsorted(values[order], found, "left")]
+    last = order[np.searchsorted(values[order], found, "right") - 1]
+    bits = max(0, (len(found) // (LANDMARKS * times)).bit_length() - 1)
+    hashed = found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    keep = hashed & np.uint64((1 << bits) - 1) == 0
+    return found[keep], first[keep], last[keep]
 
 
 def _votes(a: np.ndarray, b: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,47 +151,82 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float, int]:
     return offset, int(np.bitwise_count(a[start:end] ^ b[start + offset : end + offset]).sum()) / (32 * (end - start)), end - start
 
 
+def _together(framed: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Recordings in groups of a bounded number of frames; a longer one alone."""
+    held, n = [], 0
+    for f in framed:
+        if held and n + len(f) > TOGETHER:
+            yield held
+            held, n = [], 0
+        held.append(f)
+        n += len(f)
+    if held:
+        yield held
+
+
 def fingerprints(media: DataFrame, keys: Sequence[str], column: str, frames: Callable[[object], np.ndarray]) -> DataFrame:
-    """The key columns, n_frames, ``print`` (little-endian 32-bit integers), ``landmarks`` and ``class``, a hash of the print.
+    """The key columns, n_frames, ``print`` (little-endian 32-bit integers) and ``class``, a hash of the print.
 
-    Recordings shorter than the widest filter have no print and null landmarks and class."""
-    extra = [("n_frames", T.LongType()), ("print", T.BinaryType()), ("landmarks", T.ArrayType(T.LongType())), ("class", T.LongType())]
+    Recordings shorter than the widest filter have no print and a null class."""
+    extra = [("n_frames", T.LongType()), ("print", T.BinaryType()), ("class", T.LongType())]
     schema = T.StructType([*(media.schema[k] for k in keys), *(T.StructField(*x) for x in extra)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            values = batch.column(len(keys))
-            framed = (frames(v.as_py()) for v in values)
-            for f, p in ((f, p) for some in iter(lambda: list(islice(framed, TOGETHER)), []) for f, p in zip(some, fingerprint_many(some))):
-                data = p.astype("<u4").tobytes()
-                found = (len(f), data, landmarks(p).tolist(), int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)) if len(p) else (len(f), None, None, None)
-                for c, v in zip(rows, found):
-                    c.append(v)
+            rows: list[list] = [[], [], []]
+            for some in _together(frames(v.as_py()) for v in batch.column(len(keys))):
+                for f, p in zip(some, fingerprint_many(some) if len(some) > 1 else [fingerprint(some[0])]):
+                    data = p.astype("<u4").tobytes()
+                    found = (len(f), data, int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)) if len(p) else (len(f), None, None)
+                    for c, v in zip(rows, found):
+                        c.append(v)
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(c, arrow.field(len(keys) + i).type) for i, c in enumerate(rows)], schema=arrow)
 
     return media.select(*keys, F.col(column).alias("_media")).mapInArrow(run, schema)
 
 
-def _rarest(classes: DataFrame, least_common: float) -> DataFrame:
-    """(class, key): of n landmarks the n - ceil(least_common n) + 1 rarest. Two sets that share that part of either's share one of these."""
-    each = classes.select("class", F.size("landmarks").alias("n"), F.explode("landmarks").alias("key"))
-    # Counted over the rarest only after a partial sum in each task: a hot key brings a row from each.
-    rarity = each.groupBy("key").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, "key").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("df", "key")))
-    return ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least_common) + 1).select("class", "key")
+def _landmark_rows(classes: DataFrame, times: int) -> DataFrame:
+    """class, n (values of its print), key, first, last: a row for each landmark."""
+    arrow = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("key", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 
-
-def aligned(media: DataFrame, asked: Column, keys: Sequence[str], column: str, frames: Callable[[object], np.ndarray], most_errors: float = 0.2, least_overlap: float = 0.8, least_common: float = 0.5) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in arrow]
+                for c, p in zip(batch.column(0)[at : at + 1024].to_pylist(), batch.column(1)[at : at + 1024]):
+                    values = np.frombuffer(p.as_py(), "<u4")
+                    key, first, last = landmarks(values, times)
+                    for held, x in zip(columns, (np.full(len(key), c), np.full(len(key), len(values)), key.view(np.int32), first, last)):
+                        held.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(f.type.to_pandas_dtype()), f.type) for x, f in zip(columns, arrow)], schema=arrow)
+
+    return classes.select("class", "print").mapInArrow(run, "class long, n int, key int, first int, last int")
+
+
+def candidates(classes: DataFrame, asked: DataFrame, least_overlap: float) -> DataFrame:
+    """Pairs (a, b) of an asked class and another that share two landmarks, or one if either is short, at offsets by which they can overlap enough."""
+    look = _landmark_rows(asked, WIDENED).select(F.col("class").alias("a"), F.col("n").alias("n_a"), "key", F.col("first").alias("first_a"), F.col("last").alias("last_a"))
+    look = staged(look, "media-asked")
+    look = F.broadcast(look) if look.count() <= BROADCAST_ROWS else look
+    need = least_overlap * F.greatest("n_a", "n")
+    # b lies later than a by an offset between these; it leaves n_a + offset or n_b - offset values to meet.
+    fits = (F.col("first") - F.col("last_a") <= F.col("n") - need) & (F.col("last") - F.col("first_a") >= need - F.col("n_a"))
+    pairs = _landmark_rows(classes, 1).join(look, "key").filter((F.col("class") != F.col("a")) & (F.least("n_a", "n") >= need) & fits)
+    # Short phrases bring many pairs one landmark; two recordings that align share several.
+    found = pairs.groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("n_a", "n")).alias("shorter"))
+    return found.filter(F.col("shared") >= F.when(F.col("shorter") >= 2 * LANDMARKS, 2).otherwise(1)).select("a", "b")
+
+
+def aligned(media: DataFrame, asked: Column, keys: Sequence[str], column: str, frames: Callable[[object], np.ndarray], most_errors: float = 0.1, least_overlap: float = 0.8) -> DataFrame:
     """For each recording that is ``asked``: its class, copies, and the recordings that align with it.
 
     Two recordings align when, at the offset that most of their equal fingerprints have, at least
     ``least_overlap`` of the longer one overlaps and at most ``most_errors`` of the bits there differ.
-    Recordings with equal prints are one class, and classes are compared. Candidates share
-    one of their rarest landmarks, which finds all that have ``least_common`` of either's landmarks in common; common
-    passages are the rarest of no recording and bring no candidates.
+    Recordings with equal prints are one class, and classes are compared. Candidates share landmarks
+    (:func:`candidates`); that a pair doesn't is the one way to miss it. With errors spread evenly, an eighth of the values are still equal at 9% of the bits
+    and of 32 landmarks and more two nearly always are; so ``most_errors`` shouldn't be above 0.1.
 
     Columns: the keys, n_frames, class, n_copies (others of the class), n_aligned (recordings of other
     classes), and of the best of these (fewest errors, then smallest class) best_class, best_offset,
@@ -194,16 +235,15 @@ def aligned(media: DataFrame, asked: Column, keys: Sequence[str], column: str, f
     """
     prints = staged(fingerprints(media.withColumn("_asked", asked), [*keys, "_asked"], column, frames), "media-prints")
     # One row per class, whatever its number of copies.
-    classes = prints.filter("class is not null").groupBy("class").agg(F.count("*").alias("size"), F.max("_asked").alias("asked"), F.any_value("print").alias("print"), F.any_value("landmarks").alias("landmarks"))
+    classes = prints.filter("class is not null").groupBy("class").agg(F.count("*").alias("size"), F.max("_asked").alias("asked"), F.any_value("print").alias("print"))
     classes = staged(classes, "media-classes")
-    rare = staged(_rarest(classes, least_common), "media-rare")
-    ask = classes.filter("asked").select("class")
-    left = rare.join(ask, "class").select(F.col("class").alias("a"), "key")
-    pairs = left.join(rare.select(F.col("class").alias("b"), "key"), "key").filter("a <> b").select("a", "b").distinct()
-    one = classes.select(F.col("class").alias("a"), F.col("print").alias("print_a"))
-    two = classes.select(F.col("class").alias("b"), F.col("print").alias("print_b"), F.col("size").alias("size_b"))
-    length = F.octet_length
-    both = pairs.join(one, "a").join(two, "b").filter(F.least(length("print_a"), length("print_b")) >= least_overlap * F.greatest(length("print_a"), length("print_b")))
+    pairs = staged(candidates(classes, classes.filter("asked"), least_overlap), "media-pairs")
+    # Prints travel only if they are of a pair.
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    near = classes.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "class", "left_semi")
+    one = near.select(F.col("class").alias("a"), F.col("print").alias("print_a"))
+    two = near.select(F.col("class").alias("b"), F.col("print").alias("print_b"), F.col("size").alias("size_b"))
+    both = pairs.join(one, "a").join(two, "b")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("size_b", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("errors", T.DoubleType()), T.StructField("overlap", T.LongType())])
     arrow = to_arrow_schema(schema)
 

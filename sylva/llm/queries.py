@@ -58,9 +58,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of a conversation, voiced, is a recording; those of every twentieth conversation are looked up among all."""
-    asked = F.coalesce(F.col("conv_id") % 20 == 0, F.lit(False))
-    return media.aligned(table(spark, sf_dir, "conversations"), asked, ("conv_id", "turn"), "text", media.voiced_frames)
+    """Every turn of a conversation, voiced, is a recording. Of every twentieth conversation there are also renditions, which lack a sixteenth
+    at either end and have every sixtieth note wrong: these are looked up among all."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    sixteenth = (2 * F.floor(F.length("text") / 32)).cast("int")  # an even number of notes: frames are two notes apart
+    cut = F.substring("text", sixteenth + 1, F.length("text") - 2 * sixteenth)
+    again = turns.filter("conv_id % 20 = 0").withColumn("text", F.regexp_replace(cut, r"(?s)(.{59}).", "$1#"))
+    recordings = turns.withColumn("rendition", F.lit(0)).union(again.withColumn("rendition", F.lit(1)))
+    return media.aligned(recordings, F.col("rendition") == 1, ("conv_id", "turn", "rendition"), "text", media.voiced_frames)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
