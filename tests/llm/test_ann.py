@@ -38,6 +38,23 @@ def test_recall_on_the_table(spark):
         assert hits >= 0.9 * 5 * len(want)
 
 
+def test_recall_on_a_larger_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want, got = brute({r.vec_id: r.embedding for r in df.collect()}, 5), found(df)
+    assert sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_visits_fall_with_size():
+    """The share of leaves that hold the nearest of rows without any structure, the worst case."""
+    r, shares = np.random.default_rng(4), []
+    for n in (500, 4_000, 20_000):
+        points = ann.unit(r.normal(size=(n, 32)))
+        apart = np.arange(n) % ann.HELD_OUT == 0
+        tree = ann.Tree(points[~apart], 16, 16)
+        shares.append(ann.calibrated_visits(tree, points[apart], 1, 0.91) / tree.n_leaves)
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.4
+
+
 def test_copies_fill_cells_and_ties_go_by_id(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_ROWS", 64)
     monkeypatch.setattr(ann, "CELL_QUERIES", 2)
