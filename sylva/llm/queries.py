@@ -9,7 +9,7 @@ from sylva.llm.common import new_folder, staged
 from sylva.llm.mixing import mix_plan
 from sylva.llm import ann, jaccard, media, pii, quality, secrets, warc
 from sylva.llm.packing import pack
-from sylva.llm.rollup import VERSIONS, TokenRollup, revised, signed
+from sylva.llm.rollup import VERSIONS, TokenRollup, revised, signed, token_counts
 from sylva.llm.spans import count_of, joined, of_kinds
 from sylva.llm.tokens import BYTE_BPE_JSON
 
@@ -40,16 +40,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in, English ones are counted anew by another tokenizer version, and those of
-    under 20 words are deleted; two batches are delivered twice, and a snapshot is taken between."""
-    docs = table(spark, sf_dir, "documents")
-    counts = docs.select("source", "lang", *[count(F.col("text")).alias(version) for version, count in VERSIONS.items()])
-    counts = staged(counts, "rollup-counts")
-    english, short = F.coalesce(F.col("lang") == "en", F.lit(False)), F.col("words-1") < 20
-    recount = revised(counts.filter(english), ("words-1", "words-1"), ("marks-1", "marks-1"))
-    delete = signed(counts.filter(short & ~english), "words-1", "words-1", -1).unionByName(signed(counts.filter(short & english), "marks-1", "marks-1", -1))
+    """All documents come in, those in other languages than English are counted anew by the version for many, and those of
+    under 40 tokens are deleted; two batches are delivered twice, and a snapshot is taken between."""
+    one, many = VERSIONS
+    counts = staged(token_counts(table(spark, sf_dir, "documents")), "rollup-counts")
+    other, short = F.coalesce(F.col("lang") != "en", F.lit(True)), F.col(one) < 40
+    load = signed(counts, one, one, 1)
+    recount = revised(counts.filter(other), (one, one), (many, many))
+    delete = signed(counts.filter(short & other), many, many, -1).unionByName(signed(counts.filter(short & ~other), one, one, -1))
     rollup = TokenRollup(spark, new_folder(spark, "rollup"))
-    for batch, changes in (("load", signed(counts, "words-1", "words-1", 1)), ("recount", recount), ("load", signed(counts, "words-1", "words-1", 1))):
+    for batch, changes in (("load", load), ("recount", recount), ("load", load)):
         rollup.apply(batch, changes)
     rollup.compact()
     for batch, changes in (("recount", recount), ("delete", delete)):
@@ -128,16 +128,6 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
-OP1_SQL = r"""
-WITH c AS (
-  SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS words,
-         coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), 0)::BIGINT AS marks
-  FROM documents)
-SELECT source, lang, CASE WHEN lang = 'en' THEN 'marks-1' ELSE 'words-1' END AS version, count(*)::BIGINT AS documents,
-       sum(CASE WHEN lang = 'en' THEN marks ELSE words END)::BIGINT AS tokens
-FROM c WHERE words >= 20 GROUP BY ALL HAVING documents <> 0 OR tokens <> 0
-"""
-
 OP4_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -151,4 +141,4 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS compon
 FROM reach JOIN documents ON a = doc_id LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix": OP5_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL = {"op4_near_duplicates": OP4_SQL, "op5_mix": OP5_SQL, "op8_warc": OP8_SQL}

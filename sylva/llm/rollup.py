@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylva.llm.common import exists, n_words
-from sylva.llm.tokens import BYTE_BPE, encoder
+from sylva.llm.common import exists
+from sylva.llm.tokens import BYTE_BPE, BYTE_BPE_MULTI, encoder
 
 KEY = ("source", "lang", "version")
 TOTALS = "source string, lang string, version string, documents long, tokens long"
 
-#: Tokenizer versions that are expressions: words, and words of ASCII letters and digits plus single other characters.
-VERSIONS: Mapping[str, Callable[[Column], Column]] = {
-    "words-1": n_words,
-    "marks-1": lambda text: F.coalesce(F.regexp_count(text, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]")), F.lit(0)).cast("long"),
-}
+#: Tokenizer versions: the rank file of each.
+VERSIONS: Mapping[str, str] = {"byte_bpe_50k": BYTE_BPE, "byte_bpe_multi_50k": BYTE_BPE_MULTI}
 
 
-def bpe_tokens(docs: DataFrame, ranks: str = BYTE_BPE) -> DataFrame:
-    """The documents with ``tokens``, the ids of a rank file in each whole text (null: 0)."""
-    at = docs.columns.index("text")
+def token_counts(docs: DataFrame, versions: Mapping[str, str] = VERSIONS, keep: Sequence[str] = ("source", "lang")) -> DataFrame:
+    """The ``keep`` columns, and for each version, under its name, the number of its ids in the whole text (null: 0)."""
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(v, T.LongType()) for v in versions)])
+    arrow = to_arrow_schema(schema)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(encoder(ranks).encode_ordinary(t.as_py() or "")) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "tokens"])
+            texts = [t.as_py() or "" for t in batch.column(len(keep))]
+            counts = [pa.array([len(encoder(ranks).encode_ordinary(t)) for t in texts], pa.int64()) for ranks in versions.values()]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[: len(keep)], arrow)), *counts], schema=arrow)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, tokens long")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def signed(counts: DataFrame, version: str, tokens: str, sign: int) -> DataFrame:

@@ -11,6 +11,8 @@ import tiktoken
 
 #: The rank file that holds the vocabulary of byte_bpe_50k.json: the same ids, several times as fast.
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+#: The rank file of a vocabulary for many languages.
+BYTE_BPE_MULTI = "byte_bpe_multi_50k.tiktoken"
 #: The named file itself, for its added tokens.
 BYTE_BPE_JSON = "byte_bpe_50k.json"
 

@@ -1,9 +1,17 @@
 from __future__ import annotations
 
+import base64
+from collections import Counter
+
+import public_tokenizers
 import pytest
+import tiktoken
+from helpers import SMALL
+from tokenizers import Tokenizer
 
 from sylva.llm.common import new_folder
-from sylva.llm.rollup import TokenRollup, bpe_tokens, revised, signed
+from sylva.llm.queries import op1_token_counts
+from sylva.llm.rollup import VERSIONS, TokenRollup, revised, signed, token_counts
 
 
 def totals(r):
@@ -57,6 +65,44 @@ def test_deletes_may_come_first(spark):
     assert totals(r) == {}
 
 
-def test_tokenizer_counts(documents):
-    got = {r.doc_id: r.tokens for r in bpe_tokens(documents([(1, "hello world", "en", "s"), (2, None, None, None), (3, "", "en", "s")])).collect()}
-    assert got == {1: 2, 2: 0, 3: 0}
+def plain_counts():
+    """By the two versions: the tokenizer file of the first, and an encoding of the second's ranks."""
+    first = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    first.encode_special_tokens = True
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    second = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda t: (len(first.encode(t or "", add_special_tokens=False).ids), len(second.encode_ordinary(t or "")))
+
+
+def test_query_against_plain_counts(spark):
+    count, want = plain_counts(), Counter()
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        one, many = count(r.text)
+        if one >= 40:
+            version, n = (list(VERSIONS)[0], one) if r.lang == "en" else (list(VERSIONS)[1], many)
+            want[r.source, r.lang, version, "documents"] += 1
+            want[r.source, r.lang, version, "tokens"] += n
+    got = Counter()
+    for r in op1_token_counts(spark, SMALL).collect():
+        got[r.source, r.lang, r.version, "documents"], got[r.source, r.lang, r.version, "tokens"] = r.documents, r.tokens
+    assert got == want
+
+
+def test_counts_of_odd_texts(spark, documents):
+    rows = [(1, "hello world", "en", "s"), (1, "hello world", "en", "s"), (2, None, None, None), (3, "", "en", "s"), (4, "word " * 100_000 + "x" * 50_000, "de", None), (5, "<|endoftext|> ñ 中", "zh", "s")]
+    df = documents(rows, extra=True)
+    count = plain_counts()
+    got = sorted((tuple(r) for r in token_counts(df, keep=("doc_id", "size")).collect()))
+    assert got == sorted((d, 7, *count(t)) for d, t, *_ in rows)
+    r = TokenRollup(spark, new_folder(spark, "t"))
+    assert r.apply("rows", signed(token_counts(df), "byte_bpe_50k", "byte_bpe_50k", 1))
+    assert totals(r)[None, None, "byte_bpe_50k"] == (1, 0) and totals(r)["s", "en", "byte_bpe_50k"] == (3, 4)
+
+
+def test_empty_batches_and_tables(spark, documents):
+    r = TokenRollup(spark, new_folder(spark, "t"))
+    none = token_counts(documents([]))
+    assert r.apply("none", signed(none, "v", "byte_bpe_50k", 1)) and not r.apply("none", signed(none, "v", "byte_bpe_50k", 1))
+    assert totals(r) == {}
+    r.compact()
+    assert totals(r) == {} and r.committed("none")
