@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylva.llm.tokens import BYTE_BPE, encoder
+from sylva.llm.tokens import BYTE_BPE, BYTE_BPE_JSON, encoder
 
 #: Documents and token bytes that are packed together, which bounds a task's memory.
 BLOCK_DOCUMENTS, BLOCK_BYTES = 8_192, 24 << 20
@@ -124,10 +124,10 @@ def _schema(doc_id: T.DataType, with_ids: bool) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields + [("ids", T.BinaryType())] * with_ids])
 
 
-def pack(docs: DataFrame, capacity: int = 1024, ranks: str = BYTE_BPE, end_id: int = 0, with_ids: bool = False, added: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, ranks: str = BYTE_BPE, end_id: int = 0, with_ids: bool = False, added: str | None = BYTE_BPE_JSON) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens; one row per piece.
 
-    ``added`` names a tokenizer's JSON file whose added tokens stand for their strings; without it these are ordinary text.
+    ``added`` names a tokenizer's JSON file whose added tokens stand for their strings; with None these are ordinary text.
     A document is the ids of its text and ``end_id``; a null or empty text is ``end_id`` alone.
     Overlong documents are first cut into full windows. What remains of them and shorter
     documents are packed best fit decreasing, in blocks of a bounded number of documents of one

@@ -42,7 +42,6 @@ def test_best_fit_and_gaps(seed):
 
 def check(rows, texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_seq: dict = {}
     by_doc: dict = {}
     for r in rows:
@@ -76,6 +75,15 @@ def test_edges(documents):
     check(pack(documents([(k, v, None, None) for k, v in texts.items()], extra=True)).collect(), texts)
     twice = pack(documents([(1, "a b c", None, None)] * 3), with_ids=True).collect()
     assert sum(len(r.ids) // 4 for r in twice) == 3 * (len(encoder().encode_ordinary("a b c")) + 1)
+    ordinary = pack(documents([(1, "<|endoftext|>", None, None)]), added=None, with_ids=True).collect()
+    assert sum(r.length for r in ordinary) == 8 and all(r.doc_tokens == 8 for r in ordinary)
+
+
+def test_ids_of_random_strings(documents):
+    r = random.Random(5)
+    pieces = ["<|endoftext|>", "<|endo", "ftext|>", " ", "  ", "\n", "\u00a0", "don't", "é", "e\u0301", "中", "😀", "\u200d", "123456", "\x00", "word", "A", "_", "...", "ß", "\u2028"]
+    texts = {i: "".join(r.choice(pieces) for _ in range(r.randrange(40))) for i in range(3000)}
+    check(pack(documents([(k, v, None, None) for k, v in texts.items()])).collect(), texts)
 
 
 def test_added_tokens_are_those_of_the_named_file(spark, documents, tmp_path):
