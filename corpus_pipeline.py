@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sylva.llm import jaccard, mixing, packing, quality, secrets
-from sylva.llm.common import staged
-from sylva.llm.tokens import BYTE_BPE_JSON
+from sylva.llm.common import Stages, arrow_rows
 
 
 #: Documents that go to Python at a time: whole texts, up to very long ones, in bounded memory.
@@ -14,7 +13,7 @@ BATCH_DOCUMENTS = 500
 
 
 def bounded(spark: SparkSession) -> None:
-    """Stages are written after their function returns, so that the session keeps the setting."""
+    """Stages that are called by themselves are written after their function returns, so that the session keeps the setting; :func:`run` puts it back."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCUMENTS))
 
 
@@ -46,7 +45,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences of tokens."""
     bounded(spark)
-    return packing.pack(docs, added=BYTE_BPE_JSON)
+    return packing.pack(docs)
 
 
 STAGES = [
@@ -62,7 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each table is dropped once the next is written."""
+    stages, before = Stages(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with arrow_rows(spark, BATCH_DOCUMENTS):
+        for name, stage in STAGES:
+            docs = stages.write(stage(spark, docs, sf_dir), name)
+            if before:
+                stages.drop(before)
+            before = name
     return docs
