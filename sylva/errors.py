@@ -15,6 +15,10 @@ class Cancelled(WalkError):
     """The caller asked to stop."""
 
 
+class PartFull(SylvaError):
+    """A part has more text or nodes than its numbers can name."""
+
+
 class JsonError(SylvaError):
     """A document that breaks its format."""
 

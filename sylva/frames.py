@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from typing import BinaryIO, Protocol
 
 import pyarrow as pa
+import xxhash
 import zstandard
 
 from sylva.errors import ReadError, WriteError
@@ -43,8 +44,11 @@ class Zstd:
 
     def encode(self, raw: bytes) -> bytes:
         window = {"window_log": self.window_log} if self.window_log else {}
-        options = zstandard.ZstdCompressionParameters.from_level(self.level, write_checksum=True, write_content_size=True, **window)
-        return zstandard.ZstdCompressor(compression_params=options).compress(raw)
+        try:
+            options = zstandard.ZstdCompressionParameters.from_level(self.level, write_checksum=True, write_content_size=True, **window)
+            return zstandard.ZstdCompressor(compression_params=options).compress(raw)
+        except (ValueError, zstandard.ZstdError) as error:
+            raise WriteError(f"zstd refuses level {self.level} with window 2^{self.window_log}") from error
 
     def decode(self, frame: bytes) -> bytes:
         try:
@@ -62,17 +66,38 @@ class Zstd:
 
 @dataclass(frozen=True)
 class Lz4:
-    """LZ4 frames; sizes are those of the file's trailer, and Arrow's writer adds no checksum of the content."""
+    """LZ4 frames of independent blocks, with the size and the checksum of the content, by the published frame format."""
+
+    # Fixed values of the format: magic number, version 01 with independent blocks, content size and content checksum, and blocks of 4 MiB.
+    MAGIC, FLAGS, BLOCKS, BLOCK, STORED = 0x184D2204, 0b0110_1100, 0x70, 4 << 20, 1 << 31
 
     def encode(self, raw: bytes) -> bytes:
-        return struct.pack("<I", len(raw)) + pa.Codec("lz4").compress(raw, asbytes=True)
+        head = struct.pack("<BBQ", self.FLAGS, self.BLOCKS, len(raw))
+        out = [struct.pack("<I", self.MAGIC), head, bytes([xxhash.xxh32_intdigest(head) >> 8 & 0xFF])]
+        for at in range(0, len(raw), self.BLOCK):
+            block = raw[at : at + self.BLOCK]
+            small = pa.Codec("lz4_raw").compress(block, asbytes=True)
+            out += [struct.pack("<I", len(small)), small] if len(small) < len(block) else [struct.pack("<I", len(block) | self.STORED), block]
+        return b"".join([*out, struct.pack("<II", 0, xxhash.xxh32_intdigest(raw))])
 
     def decode(self, frame: bytes) -> bytes:
-        if len(frame) < 4 or (size := struct.unpack("<I", frame[:4])[0]) > MOST_RAW:
-            raise ReadError("a damaged frame")
         try:
-            return pa.Codec("lz4").decompress(frame[4:], size, asbytes=True)
-        except (OSError, pa.ArrowException) as error:
+            magic, flags, blocks, size, check = struct.unpack_from("<IBBQB", frame)
+            if (magic, flags, blocks) != (self.MAGIC, self.FLAGS, self.BLOCKS) or check != xxhash.xxh32_intdigest(frame[4:14]) >> 8 & 0xFF or size > MOST_RAW:
+                raise ReadError("not an LZ4 frame of this form")
+            out, at, left = [], 15, size
+            while (length := struct.unpack_from("<I", frame, at)[0]) != 0:
+                data = frame[at + 4 : at + 4 + (length & ~self.STORED)]
+                want = min(left, self.BLOCK)
+                out.append(data if length & self.STORED else pa.Codec("lz4_raw").decompress(data, want, asbytes=True))
+                at, left = at + 4 + len(data), left - want
+                if len(out[-1]) != want or not want:
+                    raise ReadError("a block of a frame has another size")
+            raw = b"".join(out)
+            if len(raw) != size or struct.unpack_from("<I", frame, at + 4)[0] != xxhash.xxh32_intdigest(raw) or at + 8 != len(frame):
+                raise ReadError("a frame is cut short, damaged or followed by other bytes")
+            return raw
+        except (OSError, pa.ArrowException, struct.error) as error:
             raise ReadError("a damaged frame") from error
 
 

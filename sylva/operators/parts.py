@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.errors import PartFull
 from sylva.functions.paths import DIRECTORY, FILE, SYMLINK, components
 
-#: Bytes of text and nodes that a part's 32-bit numbers can name.
-PART_LIMIT = 1 << 32
+#: Bytes of text that a part's 32-bit offsets can name, and nodes that an INT column can.
+MOST_TEXT, MOST_NODES = 1 << 32, (1 << 31) - 1
 
 
 def stems(parted: DataFrame) -> DataFrame:
@@ -24,17 +24,60 @@ def with_node_ids(parted: DataFrame) -> DataFrame:
     """Adds ``stem``, ``node_id`` (of directories) and ``parent_id`` to rows with a part_no.
 
     Within a part 0 is the root, then come the directories of the stem, then its own directories in
-    walk order. Numbers mean nothing outside their part. Raises where a part's text passes 4 GiB."""
+    walk order. Numbers mean nothing outside their part. :func:`checked` refuses parts that are too large for them."""
     stem = stems(parted).select("part_no", "stem")
     in_part = Window.partitionBy("part_no").orderBy("comps")
     directories = parted.filter(F.col("kind") == DIRECTORY).select("part_no", "path", (F.row_number().over(in_part) - 1).alias("dir_idx"))
     above = directories.select("part_no", F.col("path").alias("parent"), F.col("dir_idx").alias("parent_idx"))
     rows = parted.join(stem, "part_no").join(directories, ["part_no", "path"], "left").join(above, ["part_no", "parent"], "left")
     at = F.size("stem") + 1
-    text = F.sum(F.octet_length("name") + F.octet_length(F.coalesce("target", F.lit("")))).over(Window.partitionBy("part_no"))
     parent_id = F.when(F.col("parent") == "", F.lit(0)).when(F.col("parent_idx").isNotNull(), at + F.col("parent_idx")).otherwise(F.size(components(F.col("parent"))))
-    rows = rows.withColumn("_text", F.when(text < PART_LIMIT, text).otherwise(F.raise_error(F.lit("a part has over 4 GiB of text")).cast("long")))
-    return rows.filter("_text >= 0").select(*parted.columns, "stem", (at + F.col("dir_idx")).cast("int").alias("node_id"), parent_id.cast("int").alias("parent_id"))
+    return rows.select(*parted.columns, "stem", (at + F.col("dir_idx")).cast("int").alias("node_id"), parent_id.cast("int").alias("parent_id"))
+
+
+def checked(parted: DataFrame, most_text: int = MOST_TEXT, most_nodes: int = MOST_NODES) -> DataFrame:
+    """The same rows; PartFull if the text of a part, its stem's names among it, or its nodes are too many for its numbers."""
+    text = F.sum(F.octet_length("name") + F.octet_length(F.coalesce("target", F.lit(""))))
+    size = parted.groupBy("part_no").agg(text.alias("text"), F.count_if(F.col("kind") == DIRECTORY).alias("directories"))
+    stem = stems(parted).select("part_no", F.octet_length(F.array_join("stem", "")).alias("above"), (F.size("stem") + 1).alias("depth"))
+    over = size.join(stem, "part_no").filter((F.col("text") + F.col("above") >= most_text) | (F.col("directories") + F.col("depth") > most_nodes))
+    if (first := over.orderBy("part_no").first()) is not None:
+        raise PartFull(f"part {first.part_no} has {first.text + first.above} bytes of text and {first.directories + first.depth} nodes")
+    return parted
+
+
+def nodes(numbered: DataFrame) -> DataFrame:
+    """The directory nodes of parts: part_no, node_id, parent_id (null for the root) and name, the root and the stem's directories among them."""
+    own = numbered.filter(F.col("kind") == DIRECTORY).select("part_no", "node_id", "parent_id", "name")
+    stem = numbered.groupBy("part_no").agg(F.any_value("stem").alias("stem"))
+    above = stem.select("part_no", F.posexplode("stem").alias("parent_id", "name")).select("part_no", (F.col("parent_id") + 1).alias("node_id"), "parent_id", "name")
+    root = stem.select("part_no", F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit("").alias("name"))
+    return root.unionByName(above).unionByName(own)
+
+
+def invalid_rows(numbered: DataFrame) -> DataFrame:
+    """Rows of parts made by hand (part_no, stem, kind, name, node_id, parent_id) that no cut could have made, each with a ``reason``.
+
+    A name is one component; directories are numbered on from the stem without a gap and come after their
+    parents; other rows have no number; parents are nodes of the part; siblings have names of their own."""
+    per = numbered.groupBy("part_no").agg((F.size(F.any_value("stem")) + 1).alias("_first"), F.count_if(F.col("kind") == DIRECTORY).alias("_n"), F.count_distinct("stem").alias("_stems"))
+    rank = F.row_number().over(Window.partitionBy("part_no", "kind").orderBy("node_id")) - 1
+    twins = F.count("*").over(Window.partitionBy("part_no", "parent_id", "name"))
+    rows = numbered.join(per, "part_no").withColumns({"_rank": rank, "_twins": twins})
+    is_dir = F.col("kind") == DIRECTORY
+    none = F.lit(None).cast("string")
+    reason = (
+        F.when(F.coalesce(~F.col("kind").isin(DIRECTORY, FILE, SYMLINK), F.lit(True)), "kind")
+        .when(F.coalesce((F.col("name") == "") | F.col("name").contains("/") | F.col("name").isin(".", ".."), F.lit(True)), "name")
+        .when(F.col("_stems") != 1, "stem")
+        .when(is_dir & (F.col("node_id").isNull() | (F.col("node_id") != F.col("_first") + F.col("_rank"))), "node_id")
+        .when(~is_dir & F.col("node_id").isNotNull(), "node_id")
+        .when(F.coalesce((F.col("parent_id") < 0) | (F.col("parent_id") >= F.col("_first") + F.col("_n")), F.lit(True)), "parent_id")
+        .when(is_dir & (F.col("parent_id") >= F.col("node_id")), "parent_id")
+        .when(F.col("_twins") > 1, "twice")
+        .otherwise(none)
+    )
+    return rows.withColumn("reason", reason).filter("reason is not null").select(*numbered.columns, "reason")
 
 
 def part_index(parted: DataFrame) -> DataFrame:

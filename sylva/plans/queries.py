@@ -115,11 +115,17 @@ def skips(spark: SparkSession, d: str) -> DataFrame:
     return t.skip_counts(spark.read.parquet(f"{d}/documents.parquet").select(F.expr(_REASON).alias("reason")))
 
 
-@query("utf8_validity", "SELECT doc_id, true AS valid, text AS shown FROM documents")
+# Behind a name's text: nothing, a byte that starts nothing, a start without its end, an overlong form, half a surrogate pair, a point beyond the last, and a whole character.
+_TAILS = ("", "ff", "c3", "c0af", "eda080", "f4908080", "e282ac")
+_SHOWN = ("", "\ufffd", "\ufffd", "\ufffd\ufffd", "\ufffd\ufffd\ufffd", "\ufffd\ufffd\ufffd\ufffd", "€")
+
+
+@query("utf8_validity", f"""SELECT doc_id, doc_id % 7 IN (0, 6) AS valid, 'a' || doc_id || [{", ".join(f"'{x}'" for x in _SHOWN)}][1 + doc_id % 7] || 'z' AS shown FROM documents""")
 def utf8_validity(spark: SparkSession, d: str) -> DataFrame:
-    """Names as bytes: whether they are UTF-8, and how they are shown."""
-    raw = F.encode("text", "UTF-8")
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.is_valid_utf8(raw.cast("string")).alias("valid"), F.make_valid_utf8(raw.cast("string")).alias("shown"))
+    """Names as bytes, broken ones among them: whether they are UTF-8, and how they are shown."""
+    tail = F.unhex(F.element_at(F.array(*[F.lit(x) for x in _TAILS]), (F.col("doc_id") % 7 + 1).cast("int")))
+    raw = F.concat(F.encode(F.concat(F.lit("a"), F.col("doc_id").cast("string")), "UTF-8"), tail, F.encode(F.lit("z"), "UTF-8")).cast("string")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.is_valid_utf8(raw).alias("valid"), F.make_valid_utf8(raw).alias("shown"))
 
 
 @query("mtime_split", """SELECT event_id, ns, (ns - ((ns % 1000000000 + 1000000000) % 1000000000)) // 1000000000 AS secs, ((ns % 1000000000 + 1000000000) % 1000000000)::INTEGER AS nanos
@@ -248,10 +254,18 @@ def seek_offsets(spark: SparkSession, d: str) -> DataFrame:
     return _framed(spark, d, "plain").select("frame_no", "raw_length", F.coalesce(F.sum("raw_length").over(before), F.lit(0)).alias("raw_offset"))
 
 
+def _new_file(spark: SparkSession) -> str:
+    """A file in the shared folder, by a URI."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    return f"{store.makeQualified(path)}/{uuid.uuid4().hex}.manifest"
+
+
 @query("manifest_file", f"WITH RECURSIVE {parts_sql('label', 20000)} SELECT part_no, path, kind, size, mode, mtime, mtime_nanos, target FROM parted")
 def manifest_file(spark: SparkSession, d: str) -> DataFrame:
     """The tree through a file in the shared folder: written in order, read a task per part."""
-    path = f"{shared_dir(spark).removeprefix('file:').replace('//', '/')}/{uuid.uuid4().hex}.manifest"
+    path = _new_file(spark)
     write_manifest(_parted("label", 20000)(spark, d), path)
     return read_manifest(spark, path).select("part_no", "path", "kind", "size", "mode", "mtime", "mtime_nanos", "target")
 
@@ -259,13 +273,14 @@ def manifest_file(spark: SparkSession, d: str) -> DataFrame:
 @query("manifest_lookup", f"""WITH RECURSIVE {parts_sql("label", 4000)} SELECT path, kind FROM parted WHERE path LIKE 'labels/q0/%'""")
 def manifest_lookup(spark: SparkSession, d: str) -> DataFrame:
     """One directory out of a file: the index prunes the parts that are read."""
-    path = f"{shared_dir(spark).removeprefix('file:').replace('//', '/')}/{uuid.uuid4().hex}.manifest"
+    path = _new_file(spark)
     write_manifest(_parted("label", 4000)(spark, d), path, "lz4")
     return read_manifest(spark, path, "lz4").filter(F.col("path").startswith("labels/q0/")).select("path", "kind")
 
 
-@query("fs_scan")
+@query("fs_scan", """SELECT regexp_extract(filename, '[^/]+$') AS path, '' AS parent, regexp_extract(filename, '[^/]+$') AS name, 1 AS depth, 'file' AS kind, size, epoch(last_modified)::BIGINT AS mtime
+  FROM read_blob('/root/testdata/sf0.01/*')""")
 def fs_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The table's own folder, as the file system has it."""
+    """The table's own folder, as the file system has it. The SQL is for the folder of sf0.01."""
     entries, _ = scan(spark, d, metadata="full", on_error="skip")
-    return entries.select("path", "parent", "name", "depth", "kind", "size", "mode", "mtime", "mtime_nanos", "target")
+    return entries.select("path", "parent", "name", "depth", "kind", "size", "mtime")

@@ -20,10 +20,14 @@ from sylva.functions.paths import DIRECTORY, FILE, NANOS, SYMLINK
 from sylva.operators.staging import staged
 from sylva.operators.tree import _complete
 
-#: Directories that the driver lists until there are so many to hand out.
+#: Directories that the driver looks for to hand out; it visits so many at most, and holds no rows of them.
 FRONTIER = 256
+#: Entries of a directory whose metadata is read together.
+WINDOW = 1_024
 FIELDS = "path string, kind string, size long, mode int, mtime long, mtime_nanos int, target string, link_is_dir boolean, reason string, message string"
 Row = tuple
+#: The reasons that stop a scan under the policy ``fail``.
+ERRORS = ("unreadable", "failed")
 
 
 @dataclass(frozen=True)
@@ -68,11 +72,20 @@ def _skip(path: str, reason: str, message: str = "") -> Row:
     return (path, None, None, None, None, None, None, None, reason, message)
 
 
+def _kind(entry: os.DirEntry) -> str:
+    """The kind of an entry as its listing tells it, ``special`` for none of the three, and what went wrong behind ``!``."""
+    try:
+        return SYMLINK if entry.is_symlink() else DIRECTORY if entry.is_dir(follow_symlinks=False) else FILE if entry.is_file(follow_symlinks=False) else "special"
+    except OSError as error:
+        return f"!{error.strerror}"
+
+
 def list_directory(root: bytes, directory: str, full: bool, keep: Keep | None) -> Iterator[Row]:
     """The rows of one directory's entries in order, skips among them (with a reason).
 
     Reasons: ``special`` and ``non_utf8`` are skipped under any policy; ``unreadable`` (a directory that can't be opened)
     and ``failed`` are errors, with a message. A name or a link's target that isn't UTF-8 is shown lossily.
+    Of a directory, names and kinds are held; the rest is read as rows are asked for.
     """
     at = os.path.join(root, directory.encode()) if directory else root
     try:
@@ -80,52 +93,47 @@ def list_directory(root: bytes, directory: str, full: bool, keep: Keep | None) -
     except OSError as error:
         yield _skip(directory, "unreadable", f"listing {directory}: {error.strerror}")
         return
-    entries, broken = [], None
+    kinds: dict[bytes, str] = {}
+    broken = None
     with scan:
         try:
             for entry in scan:
-                entries.append(entry)
+                kinds[entry.name] = _kind(entry)
         except OSError as error:
             broken = error
-    entries.sort(key=lambda e: e.name)
-    listing = Listing([e.name for e in entries])
-    for entry in entries:
-        name = _utf8(entry.name)
-        path = f"{directory}/" * bool(directory) + entry.name.decode("utf-8", "replace")
+    listing = Listing(sorted(kinds))
+    for raw_name in listing.raw:
+        name, kind = _utf8(raw_name), kinds[raw_name]
+        path = f"{directory}/" * bool(directory) + raw_name.decode("utf-8", "replace")
         if name is None:
             yield _skip(path, "non_utf8")
-            continue
-        status = None
-        try:
-            kind = SYMLINK if entry.is_symlink() else DIRECTORY if entry.is_dir(follow_symlinks=False) else FILE if entry.is_file(follow_symlinks=False) else None
-        except OSError as error:
-            yield _skip(path, "failed", f"kind of {path}: {error.strerror}")
-            continue
-        if kind is None:
+        elif kind[0] == "!":
+            yield _skip(path, "failed", f"kind of {path}: {kind[1:]}")
+        elif kind == "special":
             yield _skip(path, "special")
-            continue
-        if keep is not None and not keep(Candidate(directory, name, kind, listing)):
-            continue
-        try:
-            status = entry.stat(follow_symlinks=False) if full else None
-        except OSError as error:
-            yield _skip(path, "failed", f"metadata of {path}: {error.strerror}")
-            continue
-        target = None
-        if kind == SYMLINK:
-            try:
-                target = _utf8(raw := os.readlink(os.path.join(at, entry.name)))
-            except OSError as error:
-                yield _skip(path, "failed", f"target of {path}: {error.strerror}")
-                continue
-            if target is None:
-                yield _skip(path, "non_utf8", raw.decode("utf-8", "replace"))
-                continue
-        yield _row(path, kind, status, target)
+        elif keep is None or keep(Candidate(directory, name, kind, listing)):
+            yield _read(os.path.join(at, raw_name), path, kind, full)
     if broken is not None:
         yield _skip(directory, "failed", f"listing of {directory}: {broken.strerror}")
 
 
+def _read(at: bytes, path: str, kind: str, full: bool) -> Row:
+    """The row of an entry, with its metadata and target, or a skip."""
+    try:
+        status = os.lstat(at) if full else None
+    except OSError as error:
+        return _skip(path, "failed", f"metadata of {path}: {error.strerror}")
+    target = None
+    if kind == SYMLINK:
+        try:
+            target = _utf8(raw := os.readlink(at))
+        except OSError as error:
+            return _skip(path, "failed", f"target of {path}: {error.strerror}")
+        if target is None:
+            return _skip(path, "non_utf8", raw.decode("utf-8", "replace"))
+    return _row(path, kind, status, target)
+
+
 def _row(path: str, kind: str, status: os.stat_result | None, target: str | None) -> Row:
     size = (status.st_size if status else 0) if kind == FILE else None
     mode = (status.st_mode & 0o7777 if status else 0) if kind != SYMLINK else None
@@ -133,33 +141,38 @@ def _row(path: str, kind: str, status: os.stat_result | None, target: str | None
     return (path, kind, size, mode, secs, nanos, target, None, None, None)
 
 
-def walk_below(root: bytes, directory: str, full: bool, keep: Keep | None) -> Iterator[Row]:
-    """The rows at all depths below a directory. One directory is open at a time."""
+def walk_below(root: bytes, directory: str, full: bool, keep: Keep | None, deep: bool = True, fail: bool = False) -> Iterator[Row]:
+    """The rows of a directory, and with ``deep`` those at all depths below. One directory is open at a time. With ``fail`` an error is the last row."""
     todo = [directory]
     while todo:
         below = []
         for row in list_directory(root, todo.pop(), full, keep):
-            if row[1] == DIRECTORY:
-                below.append(row[0])
             yield row
+            if fail and row[8] in ERRORS:
+                return
+            if row[1] == DIRECTORY and deep:
+                below.append(row[0])
         todo += reversed(below)
 
 
-def _frontier(root: bytes, full: bool, keep: Keep | None, most: int) -> tuple[list[Row], list[str]]:
-    """Rows of the uppermost directories, and the directories below which executors go on."""
+def _frontier(root: bytes, keep: Keep | None, most: int) -> list[tuple[str, bool]]:
+    """What tasks start from: the uppermost directories, each listed by itself (False), and those below which all is walked (True).
+
+    The driver visits ``most`` directories at most and one level more, and keeps the paths of directories alone."""
     if not os.path.isdir(root):
         raise WalkError(f"listing {os.fsdecode(root)}: not a directory")
-    rows, level = [], [""]
-    while level and len(level) < most:
+    shallow: list[str] = []
+    level = [""]
+    while level and len(level) + len(shallow) < most:
         below = []
         for directory in level:
-            for row in list_directory(root, directory, full, keep):
+            for row in list_directory(root, directory, False, keep):
                 if directory == "" and row[0] == "" and row[8]:
                     raise WalkError(row[9] or "the root can't be read")
-                rows.append(row)
                 below += [row[0]] if row[1] == DIRECTORY else []
+        shallow += level
         level = below
-    return rows, level
+    return [(d, False) for d in shallow] + [(d, True) for d in level]
 
 
 def scan(spark: SparkSession, root: str, metadata: str = "full", on_error: str = "fail", keep: Keep | None = None, tasks: int = FRONTIER) -> tuple[DataFrame, DataFrame]:
@@ -167,40 +180,37 @@ def scan(spark: SparkSession, root: str, metadata: str = "full", on_error: str =
 
     The root has no row; a link to it is followed, links below never are. ``keep`` is asked for each
     entry before anything of it is read: below a refused directory nothing is listed. ``metadata``
-    is ``full``, or ``kinds`` for names and kinds alone. Errors stop the scan (``fail``; the first in walk order is
-    raised) or are counted (``skip``); the row of a directory that can't be opened stays. Root errors are always raised.
+    is ``full``, or ``kinds`` for names and kinds alone. Errors stop the scan (``fail``: each task stops at its first, and the first in walk
+    order is raised) or are counted (``skip``); the row of a directory that can't be opened stays. Root errors are always raised.
 
-    The driver lists the uppermost directories; each of those below is walked by one task.
+    The driver looks for directories to hand out, and asks ``keep`` of what it meets; all rows come from tasks.
     """
     if metadata not in ("full", "kinds") or on_error not in ("fail", "skip"):
         raise ValueError("metadata is full or kinds; on_error is fail or skip")
-    full, at = metadata == "full", os.fsencode(root)
-    rows, directories = _frontier(at, full, keep, tasks)
-    out = spark.createDataFrame(rows, FIELDS)
-    if directories:
-        arrow = to_arrow_schema(out.schema)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[Row] = []
-
-            def flush() -> pa.RecordBatch:
-                columns = list(zip(*held)) or [()] * len(arrow)
-                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-            for batch in batches:
-                for directory in batch.column(0).to_pylist():
-                    for row in walk_below(at, directory, full, keep):
-                        held.append(row)
-                        if len(held) >= 8192:
-                            yield flush()
-                            held.clear()
-            yield flush()
-
-        given = spark.createDataFrame([(d,) for d in directories], "path string").repartition(min(len(directories), tasks))
-        out = out.unionByName(given.mapInArrow(run, out.schema))
-    out = staged(out, "scan")
-    bad = out.filter(F.col("reason").isin("unreadable", "failed"))
-    if on_error == "fail" and (first := bad.agg(F.min_by("message", F.split("path", "/")).alias("m")).first().m) is not None:
+    full, fail, at = metadata == "full", on_error == "fail", os.fsencode(root)
+    starts = spark.createDataFrame(_frontier(at, keep, tasks), "path string, deep boolean")
+    rows = spark.createDataFrame([], FIELDS)
+    arrow = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Row] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*held)) or [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            for directory, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for row in walk_below(at, directory, full, keep, deep, fail):
+                    held.append(row)
+                    if len(held) >= WINDOW:
+                        yield flush()
+                        held.clear()
+        yield flush()
+
+    out = staged(starts.repartition(tasks).mapInArrow(run, rows.schema), "scan")
+    bad = out.filter(F.col("reason").isin(*ERRORS))
+    if fail and (first := bad.agg(F.min_by("message", F.split("path", "/")).alias("m")).first().m) is not None:
         raise WalkError(first)
     return _complete(out.filter("reason is null").drop("reason", "message")), out.filter("reason is not null").select("path", "reason", "message")
 
@@ -243,8 +253,8 @@ def open_file_metadata(descriptor: int) -> dict:
 
 @dataclass
 class _Below(InputPartition):
-    rows: list
-    directory: str | None
+    directory: str
+    deep: bool
 
 
 class _TreeReader(DataSourceReader):
@@ -253,12 +263,11 @@ class _TreeReader(DataSourceReader):
         self.fail, self.tasks = options.get("onerror", options.get("onError", "fail")) == "fail", int(options.get("tasks", FRONTIER))
 
     def partitions(self):
-        rows, directories = _frontier(self.root, self.full, None, self.tasks)
-        return [_Below(rows, None), *(_Below([], d) for d in directories)]
+        return [_Below(*start) for start in _frontier(self.root, None, self.tasks)]
 
     def read(self, partition: _Below):
-        for row in walk_below(self.root, partition.directory, self.full, None) if partition.directory is not None else partition.rows:
-            if self.fail and row[8] in ("unreadable", "failed"):
+        for row in walk_below(self.root, partition.directory, self.full, None, partition.deep):
+            if self.fail and row[8] in ERRORS:
                 raise WalkError(row[9])
             yield row
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
@@ -15,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from sylva.errors import ReadError, WriteError
 from sylva.frames import FORMATS, MOST_RAW, Format, Span, decoded_line
 from sylva.operators.documents import entries_of_document, index_document, parsed_index, part_documents
-from sylva.operators.parts import part_index, with_node_ids
+from sylva.operators.parts import checked, part_index, with_node_ids
 from sylva.operators.staging import staged
 
 SCHEMA = "part_no long, path string, parent string, name string, kind string, size long, mode int, mtime long, mtime_nanos int, target string, link_is_dir boolean"
@@ -30,6 +31,13 @@ class Written:
     file_length: int
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path or URI that pyarrow opens (file, hdfs, s3, gs), and the place in it; relative paths are local."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.LocalFileSystem(), path
+
+
 def frames(documents: DataFrame, format: Format) -> DataFrame:
     """Each document (part_no, document) as a frame: frame_no, data, raw_length. Encoded where the documents are."""
     codec = format.codec
@@ -66,25 +74,31 @@ def write_manifest(parted: DataFrame, path: str, format: Format | str = "zstd",
     """
     format = FORMATS[format] if isinstance(format, str) else format
     rows = staged(parted, "manifest-rows")
-    made = staged(frames(part_documents(with_node_ids(rows)), format), "manifest-frames")
+    format.codec.encode(b"")  # a codec that refuses its settings does so here
+    made = staged(frames(part_documents(with_node_ids(checked(rows))), format), "manifest-frames")
     index = frames(index_document(part_index(rows), skips).select(F.lit(0).cast("long").alias("part_no"), "document"), format).first()
-    at, sizes = f"{path}.{uuid.uuid4().hex}", []
+    store, place = store_of(path)
+    at, sizes, length = f"{place}.{uuid.uuid4().hex}", [], 0
     try:
-        with open(at, "wb") as out:
+        with store.open_output_stream(at, compression=None) as out:
             out.write(format.header())
             for frame in made.orderBy("frame_no").toLocalIterator():
-                out.write(frame.data)
+                out.write(bytes(frame.data))
                 sizes.append((len(frame.data), frame.raw_length))
-            out.write(index.data)
+            out.write(bytes(index.data))
             sizes.append((len(index.data), index.raw_length))
             out.write(format.trailer(sizes))
             length = out.tell()
-        os.replace(at, path)
+        store.move(at, place)
     except OSError as error:
         raise WriteError(f"can't write {path}") from error
     finally:
-        if os.path.exists(at):
-            os.remove(at)
+        try:
+            left = store.get_file_info(at).type != fs.FileType.NotFound
+        except OSError:
+            left = False
+        if left:
+            store.delete_file(at)
     return Written(parsed_index(decoded_line(format.codec, bytes(index.data))), sum(r for _, r in sizes), length)
 
 
@@ -98,8 +112,9 @@ class ManifestFile:
 
     def __init__(self, path: str, format: Format | str = "zstd"):
         self.path, self.format = path, FORMATS[format] if isinstance(format, str) else format
-        length = os.path.getsize(path)
-        with open(path, "rb") as file:
+        store, place = store_of(path)
+        with store.open_input_file(place) as file:
+            length = file.size()
             self.spans: list[Span] = self.format.locate(file, length)
         if not self.spans or any(s.offset + s.length > length for s in self.spans):
             raise ReadError("the file holds no index")
@@ -110,9 +125,9 @@ class ManifestFile:
     def frame(self, n: int) -> bytes:
         """The bytes of frame n; the last is the index."""
         span = self.spans[n]
-        with open(self.path, "rb") as file:
-            file.seek(span.offset)
-            return file.read(span.length)
+        store, place = store_of(self.path)
+        with store.open_input_file(place) as file:
+            return file.read_at(span.length, span.offset)
 
     def _line(self, n: int) -> bytes:
         line = decoded_line(self.format.codec, self.frame(n))

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.errors import Cancelled
 from sylva.operators.documents import entries_of_document, part_documents
-from sylva.operators.parts import with_node_ids
+from sylva.operators.parts import checked, with_node_ids
 from sylva.operators.staging import staged
 
 
@@ -29,40 +31,72 @@ class Part:
 
 
 class Progress(Protocol):
-    """Told of every directory entered, entry recorded and entry skipped, from the driver, as parts are handed out."""
+    """Told, from the driver and as parts are handed out, of the root and every directory before what it holds, of every
+    entry with the size of a file (0 for others), and of what was skipped."""
 
-    def entered(self, path: str) -> None: ...
+    def entered(self, directory: str) -> None: ...
 
-    def recorded(self, path: str, kind: str) -> None: ...
+    def recorded(self, path: str, kind: str, size: int) -> None: ...
 
     def skipped(self, path: str, reason: str) -> None: ...
 
 
-def deliver(parted: DataFrame, sink: Callable[[Part], None], skips: DataFrame | None = None, progress: Progress | None = None, cancel: threading.Event | None = None) -> int:
-    """Calls ``sink`` with each part in order; returns their number.
+@contextmanager
+def cancellable(spark: SparkSession, cancel: threading.Event | None) -> Iterator[Callable[[], None]]:
+    """Jobs started within are interrupted once ``cancel`` is set, and end in Cancelled. Gives a function that looks at it."""
+    tag, done = f"sylva-{uuid.uuid4().hex}", threading.Event()
+
+    def look() -> None:
+        if cancel is not None and cancel.is_set():
+            raise Cancelled("the caller asked to stop")
+
+    def watch() -> None:
+        while not done.wait(0.05):
+            if cancel.is_set():
+                spark.interruptTag(tag)
 
-    The driver holds one partition of parts at a time. An error of the sink ends it and comes out unchanged. ``cancel`` is
-    looked at before each part and raises Cancelled; parts handed out until then stay valid."""
-    spark = parted.sparkSession
-    tag = f"deliver-{id(sink)}"
+    look()
     spark.addTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True) if cancel is not None else None
+    if watcher:
+        watcher.start()
     try:
-        documents = staged(part_documents(with_node_ids(staged(parted, "deliver-rows"))), "deliver").orderBy("part_no")
-        for row in skips.orderBy(F.split("path", "/")).toLocalIterator() if skips is not None and progress is not None else ():
-            progress.skipped(row.path, row.reason)
+        yield look
+    except Cancelled:
+        raise
+    except Exception as error:
+        if cancel is not None and cancel.is_set() and "cancel" in str(error).lower():
+            raise Cancelled("the caller asked to stop") from error
+        raise
+    finally:
+        done.set()
+        spark.removeTag(tag)
+        if watcher:
+            watcher.join()
+
+
+def deliver(parted: DataFrame, sink: Callable[[Part], None], skips: DataFrame | None = None, progress: Progress | None = None, cancel: threading.Event | None = None) -> int:
+    """Calls ``sink`` with each part in order; returns their number.
+
+    The driver holds one partition of parts at a time. An error of the sink ends it and comes out unchanged. ``cancel``
+    interrupts the jobs that make the parts, is looked at before each entry that is told of and before each part, and
+    raises Cancelled; parts handed out until then stay valid."""
+    with cancellable(parted.sparkSession, cancel) as look:
+        documents = staged(part_documents(with_node_ids(checked(staged(parted, "deliver-rows")))), "deliver").orderBy("part_no")
+        if progress is not None:
+            progress.entered("")
+            for row in skips.orderBy(F.split("path", "/")).toLocalIterator() if skips is not None else ():
+                look()
+                progress.skipped(row.path, row.reason)
         n = 0
         for row in documents.toLocalIterator():
-            if cancel is not None and cancel.is_set():
-                spark.interruptTag(tag)
-                raise Cancelled("the caller asked to stop")
+            look()
             part = Part(row.part_no, row.document)
-            if progress is not None:
-                for e in part.entries():
-                    progress.recorded(e["path"], e["kind"])
-                    if e["kind"] == "directory":
-                        progress.entered(e["path"])
+            for e in part.entries() if progress is not None else ():
+                look()
+                progress.recorded(e["path"], e["kind"], e.get("size") or 0)
+                if e["kind"] == "directory":
+                    progress.entered(e["path"])
             sink(part)
             n += 1
         return n
-    finally:
-        spark.removeTag(tag)

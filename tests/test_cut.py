@@ -62,13 +62,11 @@ def holds(kinds: dict[str, str], budget: int, parts: list[list[str]]) -> None:
             assert p in parts[where[u]], "a unit is in one part as a whole"
     for (_, before), (heads, after) in pairwise(made_of):
         if before and after and not heads and before[0].rpartition("/")[0] == after[0].rpartition("/")[0]:
-            passed = [d for d in m.divided if key(before[-1]) < key(d) < key(after[0])]
-            full = sum(m.below[u] for u in before) + m.below[after[0]] > budget
-            assert passed or full, "a run ends only where the next unit doesn't fit or a divided sibling comes between"
+            assert sum(m.below[u] for u in before) + m.below[after[0]] > budget, "a run ends only where the next unit doesn't fit or a divided sibling comes between"
 
 
 def made(spark, kinds):
-    return entries_of(spark.createDataFrame(list(kinds.items()), "path string, kind string"))
+    return entries_of(spark.createDataFrame([(p, k, len(p) if k == "file" else None) for p, k in kinds.items()], "path string, kind string, size long"))
 
 
 def museum() -> dict[str, str]:
@@ -100,10 +98,10 @@ def check(spark, kinds, chosen):
 
 
 def test_made_tree_at_many_budgets(spark):
-    check(spark, museum(), budgets(museum()))
+    check(spark, museum(), budgets(museum())[::2])
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_random_trees(spark, seed):
     pick = random.Random(100 + seed)
     kinds: dict[str, str] = {}

@@ -6,22 +6,26 @@ import json
 import shutil
 import subprocess
 import threading
+import time
 
+import pyarrow as pa
 import pytest
-from test_cut import made, wide
+from pyspark.sql import functions as F
+from test_cut import made, museum
 
 from sylva.__main__ import main
-from sylva.errors import Cancelled, JsonError, ReadError
-from sylva.frames import FORMATS, Plain, TaggedFormat, Zstd, ZstdFormat
+from sylva.errors import Cancelled, JsonError, PartFull, ReadError, WriteError
+from sylva.frames import FORMATS, Lz4, Plain, TaggedFormat, Zstd, ZstdFormat
 from sylva.operators.cut import with_parts
 from sylva.operators.documents import entries_of_document, parsed_index
+from sylva.operators.parts import checked, invalid_rows, nodes, with_node_ids
 from sylva.sources.manifest import ManifestFile, read_manifest, write_lines, write_manifest
 from sylva.streaming.delivery import deliver
 
 
 @pytest.fixture(scope="module")
 def parted(spark):
-    return with_parts(made(spark, wide()), 300).cache()
+    return with_parts(made(spark, museum()), 300).cache()
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +41,7 @@ def test_round_trip(spark, parted, tmp_path, name):
     f = ManifestFile(path, name)
     assert f.index == written.index and len(f.index["parts"]) == parted.select("part_no").distinct().count()
     got = [e["path"] for n in range(len(f.index["parts"])) for e in entries_of_document(f.part_json(n))]
-    assert got == sorted(wide(), key=lambda p: p.encode().split(b"/"))
+    assert got == sorted(museum(), key=lambda p: p.encode().split(b"/"))
     columns = ["part_no", "path", "kind", "size", "mode", "mtime", "mtime_nanos", "target"]
     assert sorted(map(str, read_manifest(spark, path, name).select(columns).collect())) == sorted(map(str, parted.select(columns).collect()))
 
@@ -48,9 +52,9 @@ def test_bytes_depend_on_rows_alone(spark, parted, file, tmp_path):
 
 
 def test_pruned_lookup(spark, file):
-    got = read_manifest(spark, file[0]).filter("path like 'flat/%'")
-    assert got.count() == 40
-    assert len(ManifestFile(file[0]).parts_holding("flat")) < len(file[1].index["parts"])
+    got = read_manifest(spark, file[0]).filter("path like 'catalogue/%'")
+    assert got.count() == 35
+    assert len(ManifestFile(file[0]).parts_holding("catalogue")) < len(file[1].index["parts"])
 
 
 def test_damage_is_refused(file, tmp_path):
@@ -120,13 +124,15 @@ def test_delivery_progress_and_cancel(parted):
     seen, cancel = [], threading.Event()
 
     class Told:
-        entered_, recorded_ = [], []
+        entered_, recorded_, bytes_ = [], [], 0
 
         def entered(self, path):
+            assert path == "" or path == self.recorded_[-1]
             self.entered_.append(path)
 
-        def recorded(self, path, kind):
+        def recorded(self, path, kind, size):
             self.recorded_.append(path)
+            self.bytes_ += size
 
         def skipped(self, path, reason):
             pass
@@ -134,7 +140,10 @@ def test_delivery_progress_and_cancel(parted):
     told = Told()
     n = deliver(parted, seen.append, progress=told)
     assert n == len(seen) and [p.number for p in seen] == list(range(n))
-    assert told.recorded_ == sorted(wide(), key=lambda p: p.encode().split(b"/"))
+    assert told.recorded_ == sorted(museum(), key=lambda p: p.encode().split(b"/"))
+
+    assert told.entered_ == ["", *sorted((p for p, k in museum().items() if k == "directory"), key=lambda p: p.encode().split(b"/"))]
+    assert told.bytes_ == parted.agg({"size": "sum"}).first()[0]
 
     def stop(part):
         cancel.set()
@@ -145,6 +154,80 @@ def test_delivery_progress_and_cancel(parted):
         deliver(parted, lambda part: 1 / 0)
 
 
+def test_cancel_interrupts_the_jobs(spark, parted):
+    """A flag that is up stops all at once; one that goes up later, a job that would take minutes."""
+    up, later = threading.Event(), threading.Event()
+    up.set()
+    with pytest.raises(Cancelled):
+        deliver(parted, lambda part: None, cancel=up)
+    slow = parted.crossJoin(spark.range(1 << 40).selectExpr("max(hash(id)) as m")).drop("m")
+    threading.Timer(1.0, later.set).start()
+    began = time.time()
+    with pytest.raises(Cancelled):
+        deliver(slow, lambda part: None, cancel=later)
+    assert time.time() - began < 30
+
+
+def test_lz4_frames_by_their_published_form(spark, parted, tmp_path):
+    """Arrow's own reader of LZ4 frames reads each frame; damage of any byte is refused."""
+    path = str(tmp_path / "tree.lz4")
+    write_manifest(parted, path, "lz4")
+    f = ManifestFile(path, "lz4")
+    text = b"".join(pa.Codec("lz4").decompress(f.frame(n), s.raw_length, asbytes=True) for n, s in enumerate(f.spans))
+    assert text.count(b"\n") == len(f.spans) and json.loads(text.split(b"\n")[-2])["format_version"] == 1
+    lz4 = Lz4()
+    for raw in (b"", b"x", b"ab" * 5_000_000, bytes(range(256)) * 3):
+        assert lz4.decode(lz4.encode(raw)) == raw
+    frame = lz4.encode(b"some text, some text, some text" + bytes(range(200)))
+    for i in range(len(frame)):
+        with pytest.raises(ReadError):
+            lz4.decode(frame[:i] + bytes([frame[i] ^ 0x55]) + frame[i + 1 :])
+    for bad in (frame[:-1], frame + b"x", frame + frame, b""):
+        with pytest.raises(ReadError):
+            lz4.decode(bad)
+
+
+def test_a_window_that_zstd_refuses(parted, tmp_path):
+    with pytest.raises(WriteError):
+        write_manifest(parted, str(tmp_path / "no"), ZstdFormat(Zstd(window_log=99)))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_files_by_uri(spark, parted, tmp_path):
+    path = f"file://{tmp_path}/by-uri"
+    write_manifest(parted, path)
+    assert read_manifest(spark, path).count() == len(museum())
+
+
+def test_parts_that_are_too_full(parted):
+    assert checked(parted) is parted
+    with pytest.raises(PartFull):
+        checked(parted, most_text=20)
+    with pytest.raises(PartFull):
+        checked(parted, most_nodes=1)
+    with pytest.raises(PartFull):
+        checked(parted.withColumn("name", F.expr("repeat('x', 2000000)")), most_text=2_000_001)
+
+
+def test_nodes_and_parts_made_by_hand(spark, parted):
+    numbered = with_node_ids(parted).cache()
+    known = {(r.part_no, r.node_id): r for r in nodes(numbered).collect()}
+    for r in numbered.collect():
+        names, at = [], r.parent_id
+        while at:
+            names.append(known[r.part_no, at].name)
+            at = known[r.part_no, at].parent_id
+        assert "/".join(names[::-1]) == r.parent
+    assert invalid_rows(numbered).count() == 0
+    columns = "part_no long, stem array<string>, kind string, name string, node_id int, parent_id int"
+    good = [(0, ["s"], "directory", "a", 2, 1), (0, ["s"], "file", "f", None, 2), (0, ["s"], "directory", "b", 3, 2)]
+    bad = {"kind": (0, ["s"], "socket", "x", None, 1), "name": (0, ["s"], "file", "x/y", None, 1), "node_id": (0, ["s"], "directory", "x", 9, 1), "parent_id": (0, ["s"], "file", "x", None, 4), "twice": (0, ["s"], "file", "a", None, 1)}
+    assert invalid_rows(spark.createDataFrame(good, columns)).count() == 0
+    for reason, row in bad.items():
+        assert {r.reason for r in invalid_rows(spark.createDataFrame([*good, row], columns)).collect()} == {reason}
+    assert {r.reason for r in invalid_rows(spark.createDataFrame([*good, (0, ["t"], "file", "x", None, 1)], columns)).collect()} == {"stem"}
+
+
 def test_control_characters_are_escaped(spark, tmp_path):
     names = {'a"\\\n\t\x1f\x0b': "file", "\\u001Fx": "file", "é /": "file"}
     names = {k.rstrip("/"): v for k, v in names.items()}

@@ -11,7 +11,7 @@ from sylva.plans import queries as plans
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    same_rows(plans.QUERIES[name](spark, SMALL), duck, plans.ORACLE_SQL[name])
+    same_rows(plans.QUERIES[name](spark, SMALL), duck, plans.ORACLE_SQL[name].replace("sf0.01/*", "sf0.001/*"))
 
 
 def test_entry_and_registration(spark):
