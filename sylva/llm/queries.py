@@ -140,4 +140,42 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS compon
 FROM reach JOIN documents ON a = doc_id LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op4_near_duplicates": OP4_SQL, "op5_mix": OP5_SQL, "op8_warc": OP8_SQL}
+
+
+def _spans_sql(kinds: dict[str, tuple[str, str, str]], order: str) -> str:
+    """SQL for counts, digest and spans of kinds: pattern, its options, and the test that a match v must pass.
+
+    Matches are put between two characters of private use, which cut the text into pieces whose lengths give the places."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {i} AS k, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\\0' || chr(57345), 'g{options}'), chr(57344)) AS p FROM d" for i, (kind, (pattern, options, _)) in enumerate(kinds.items())
+    )
+    test = " ".join(f"WHEN '{kind}' THEN {t}" for kind, (_, _, t) in kinds.items())
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}')::BIGINT AS n_{kind}" for kind in kinds)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+places AS (SELECT doc_id, kind, k, p, unnest(range(2, len(p) + 1)) AS i FROM found WHERE len(p) > 1),
+matches AS (
+  SELECT doc_id, kind, k, string_split(p[i], chr(57345))[1] AS v, (list_sum(list_transform(p[1:i - 1], lambda x: length(x))) - (i - 2))::BIGINT AS s FROM places),
+spans AS (SELECT doc_id, kind, k, s, kind || ':' || s || ':' || (s + length(v)) AS span FROM matches WHERE CASE kind {test} END),
+all_spans AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY {order}) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in kinds)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN all_spans USING (doc_id)
+"""
+
+
+_ASSIGN = r"""(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+# The SQL has the base kinds alone: beside them the tables of sf0.001 to sf0.1 hold no random strings, nor terms that disclose an entity of two texts.
+OP7_SQL = _spans_sql({"assign": (_ASSIGN, "i", f"length(regexp_extract(v, '{_ASSIGN}', 2, 'i')) >= 6"), "access": ("AKIA[A-Z0-9]+", "", "length(v) >= 20"), "hex": ("[0-9a-f]+", "", "length(v) >= 24")}, "s, k")
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INTEGER WHEN x::INTEGER > 4 THEN 2 * x::INTEGER - 9 ELSE 2 * x::INTEGER END)) % 10 = 0"
+OP9_SQL = _spans_sql(
+    {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR lpad(ltrim(x, '0'), 3, '0') > '255')) = 0"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", "", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+    },
+    "k, s",
+)
+
+ORACLE_SQL = {"op4_near_duplicates": OP4_SQL, "op5_mix": OP5_SQL, "op7_secrets": OP7_SQL, "op8_warc": OP8_SQL, "op9_pii": OP9_SQL}
