@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylva.llm.common import new_folder, staged
+from sylva.llm.common import Stages, join_each, new_folder, staged
 
 # Fixed values of the format.
 VERSION, END = b"WARC/1.1", b"\r\n\r\n"
@@ -28,6 +28,8 @@ GZIP = 31  # zlib's window bits for a gzip member
 
 #: Reads of an archive, in bytes.
 CHUNK = 1 << 20
+#: Payloads that several pages have whose digests are sent to every executor at most, about 40 MB.
+BROADCAST_GROUPS = 300_000
 HTTP_LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]+)", re.IGNORECASE)
 
 
@@ -138,10 +140,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
     folder = _qualified(spark, folder or new_folder(spark, "warc"))
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    # Digests that repeat: a row for each, however many copies it has.
+    # Digests that repeat: a row for each, however many copies it has. Payloads travel only if there are too many of these to send.
     groups = rows.filter(F.octet_length("payload") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    groups = staged(groups.filter("n > 1 and first is not null").select("digest", "first"), "warc-groups")
-    rows = rows.join(groups, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    stages = Stages(spark, "warc")
+    groups = stages.write(groups.filter("n > 1 and first is not null"), "groups")
+    if groups.count() <= BROADCAST_GROUPS:
+        rows = rows.join(F.broadcast(groups.drop("n")), "digest", "left")
+    else:
+        rows = join_each(rows.withColumn("_at", F.monotonically_increasing_id()), groups, "digest", "_at", stages, "left")
+    rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("n_records", T.LongType()), T.StructField("n_bytes", T.LongType())])
     arrow = to_arrow_schema(schema)
 

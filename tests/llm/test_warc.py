@@ -5,7 +5,7 @@ import hashlib
 
 import pytest
 
-from sylva.llm import warc
+from sylva.llm import common, warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -37,7 +37,10 @@ def test_damage_is_refused():
             list(warc.read_records(chunks(data)))
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("most", (warc.BROADCAST_GROUPS, 0))
+def test_pages(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", most)
+    monkeypatch.setattr(common, "HOT", 2)
     big, other = "b" * 150, "é" * 60
     rows = [(5, "u", big), (3, "u", big), (9, None, big), (9, None, big), (1, "u", "small"), (2, "u", "small"), (4, "u", None), (6, "u", ""), (None, "u", big), (7, "u", other), (None, "u", "n" * 200), (None, "u", "n" * 200), (8, "u", "z" * 3_000_000)]
     df = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as payload", "2 as digest", "3 as first").repartition(3)
