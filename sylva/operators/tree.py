@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.functions.paths import DIRECTORY, FILE, SYMLINK, components, estimate, joined, parent_of, prefixes
+from sylva.functions.paths import DIRECTORY, FILE, SYMLINK, components, estimate, parent_of, prefixes
 
 #: Columns that a leaf may bring besides its path, with their types and what they are otherwise.
 LEAF = {"kind": ("string", FILE), "size": ("long", None), "mode": ("int", None), "mtime": ("long", None), "mtime_nanos": ("int", 0), "target": ("string", None), "link_is_dir": ("boolean", None)}
@@ -116,7 +116,3 @@ def with_metadata(entries: DataFrame, metadata: DataFrame) -> DataFrame:
 def without_metadata(entries: DataFrame) -> DataFrame:
     """Kinds alone: sizes and modes 0 where the kind has them, times unknown."""
     return entries.withColumns({"size": F.when(F.col("kind") == FILE, F.lit(0)).cast("long"), "mode": F.when(F.col("kind") != SYMLINK, F.lit(0)).cast("int"), "mtime": F.lit(None).cast("long"), "mtime_nanos": F.lit(0)})
-
-
-def full_path(parent: Column, name: Column) -> Column:
-    return joined(parent, name)
