@@ -7,6 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,8 @@ PITCHES = 12
 #: Sixteen filters of two bits each: shape, lowest band, bands, frames. Widest first and over all bands in turn.
 FILTERS = tuple((i % 5, (5 * i) % (PITCHES - h + 1), h, w) for i, (h, w) in enumerate((h, w) for w in (16, 12, 8, 4) for h in (12, 8, 6, 4)))
 WIDTH = max(f[3] for f in FILTERS)
-#: The thresholds that make two bits of a filter's log ratio, and their Gray code.
-CUTS = np.array([-0.12, 0.0, 0.12])
+#: The thresholds that make two bits of a filter's log ratio, as ratios, and their Gray code.
+CUTS = np.exp([-0.12, 0.0, 0.12])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Steps of a scaled frame's values; frames whose prints are made together, about.
 ROUNDED, TOGETHER = 1 << 20, 1 << 16
@@ -74,11 +75,14 @@ def fingerprint_many(recordings: list[np.ndarray]) -> list[np.ndarray]:
         return [np.zeros(0, np.uint32) for _ in recordings]
     frames = np.concatenate([f.reshape(-1, PITCHES) for f in recordings])
     norm = np.linalg.norm(frames, axis=1, keepdims=True)
-    image = np.zeros((len(frames) + 1, PITCHES + 1))
-    image[1:, 1:] = np.cumsum(np.cumsum(np.round(frames / np.where(norm > 0, norm, 1) * ROUNDED) / ROUNDED, axis=0), axis=1)
+    # Bands in rows: a box is four stretches of memory.
+    image = np.zeros((PITCHES + 1, len(frames) + 1))
+    np.cumsum(np.round(frames / np.where(norm > 0, norm, 1) * ROUNDED).T / ROUNDED, axis=1, out=image[1:, 1:])
+    np.cumsum(image, axis=0, out=image)
 
     def box(x: int, y: int, w: int, h: int) -> np.ndarray:
-        return image[x + w : x + w + n, y + h] - image[x : x + n, y + h] - image[x + w : x + w + n, y] + image[x : x + n, y]
+        upto = image[y + h] - image[y]
+        return upto[x + w : x + w + n] - upto[x : x + n]
 
     out = np.zeros(n, np.uint32)
     for i, (shape, y, h, w) in enumerate(FILTERS):
@@ -93,8 +97,11 @@ def fingerprint_many(recordings: list[np.ndarray]) -> list[np.ndarray]:
             part = box(0, y + h // 4, w, h // 2)
         else:  # middle of the time
             part = box(w // 4, y, w // 2, h)
-        answer = np.log((1 + part) / (1 + whole - part))
-        out |= GRAY[np.searchsorted(CUTS, answer, side="right")] << np.uint32(2 * i)
+        over, under = 1 + part, 1 + (whole - part)
+        level = (over >= CUTS[0] * under).astype(np.uint8)
+        level += over >= under
+        level += over >= CUTS[2] * under
+        out |= GRAY[level] << np.uint32(2 * i)
     starts = np.cumsum([0, *sizes])
     return [out[s : max(s, s + size - WIDTH + 1)] for s, size in zip(starts, sizes)]
 
@@ -165,20 +172,22 @@ def _together(framed: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
 
 
 def fingerprints(media: DataFrame, keys: Sequence[str], column: str, frames: Callable[[object], np.ndarray]) -> DataFrame:
-    """The key columns, n_frames, ``print`` (little-endian 32-bit integers) and ``class``, a hash of the print.
+    """The key columns, row (a number), n_frames, ``print`` (little-endian 32-bit integers) and ``class``, a hash of the print.
 
     Recordings shorter than the widest filter have no print and a null class."""
-    extra = [("n_frames", T.LongType()), ("print", T.BinaryType()), ("class", T.LongType())]
+    extra = [("row", T.LongType()), ("n_frames", T.LongType()), ("print", T.BinaryType()), ("class", T.LongType())]
     schema = T.StructType([*(media.schema[k] for k in keys), *(T.StructField(*x) for x in extra)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows: list[list] = [[], [], []]
+            rows: list[list] = [[], [], [], []]
             for some in _together(frames(v.as_py()) for v in batch.column(len(keys))):
                 for f, p in zip(some, fingerprint_many(some) if len(some) > 1 else [fingerprint(some[0])]):
                     data = p.astype("<u4").tobytes()
-                    found = (len(f), data, int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)) if len(p) else (len(f), None, None)
+                    found = (row, len(f), data, int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)) if len(p) else (row, len(f), None, None)
+                    row += 1
                     for c, v in zip(rows, found):
                         c.append(v)
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keys))]
@@ -234,15 +243,20 @@ def aligned(media: DataFrame, asked: Column, keys: Sequence[str], column: str, f
     null classes and align with nothing. Rows that repeat are copies of each other.
     """
     prints = staged(fingerprints(media.withColumn("_asked", asked), [*keys, "_asked"], column, frames), "media-prints")
-    # One row per class, whatever its number of copies.
-    classes = prints.filter("class is not null").groupBy("class").agg(F.count("*").alias("size"), F.max("_asked").alias("asked"), F.any_value("print").alias("print"))
-    classes = staged(classes, "media-classes")
-    pairs = staged(candidates(classes, classes.filter("asked"), least_overlap), "media-pairs")
+    # One row per class, whatever its number of copies: its first. Prints stay where they are unless there are too many copies to list.
+    known = prints.filter("class is not null")
+    sizes = staged(known.groupBy("class").agg(F.count("*").alias("size"), F.max("_asked").alias("asked"), F.min("row").alias("first")), "media-sizes")
+    copies = known.select("class", "row").join(sizes.filter("size > 1").select("class", "first"), "class").filter("row <> first").select("row")
+    copies = staged(copies, "media-copies")
+    classes = known.select("class", "print", "row").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "row", "left_anti").select("class", "print")
+    asked_for = sizes.filter("asked").select("class")
+    few = asked_for.count() <= BROADCAST_ROWS
+    pairs = staged(candidates(classes, classes.join(F.broadcast(asked_for) if few else asked_for, "class", "left_semi"), least_overlap), "media-pairs")
     # Prints travel only if they are of a pair.
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     near = classes.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "class", "left_semi")
     one = near.select(F.col("class").alias("a"), F.col("print").alias("print_a"))
-    two = near.select(F.col("class").alias("b"), F.col("print").alias("print_b"), F.col("size").alias("size_b"))
+    two = near.join(sizes, "class").select(F.col("class").alias("b"), F.col("print").alias("print_b"), F.col("size").alias("size_b"))
     both = pairs.join(one, "a").join(two, "b")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("size_b", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("errors", T.DoubleType()), T.StructField("overlap", T.LongType())])
     arrow = to_arrow_schema(schema)
@@ -261,7 +275,7 @@ def aligned(media: DataFrame, asked: Column, keys: Sequence[str], column: str, f
     found = both.select("a", "b", "size_b", "print_a", "print_b").mapInArrow(check, schema)
     best = F.min_by(F.struct("b", "offset", "errors", "overlap"), F.struct("errors", "b"))
     found = found.groupBy("a").agg(F.sum("size_b").alias("n_aligned"), best.alias("best"))
-    found = classes.filter("asked").select("class", (F.col("size") - 1).alias("n_copies")).join(found.withColumnRenamed("a", "class"), "class", "left")
+    found = sizes.filter("asked").select("class", (F.col("size") - 1).alias("n_copies")).join(found.withColumnRenamed("a", "class"), "class", "left")
     out = prints.filter("_asked").join(staged(found, "media-found"), "class", "left")
     none = F.lit(0).cast("long")
     return out.select(
