@@ -25,8 +25,8 @@ SAMPLE_ROWS = 20_000
 CELL_ROWS, CELL_QUERIES = 2_048, 8_192
 #: Queries that meet a cell's rows together, and rows that a task passes on together.
 BLOCK, BATCH = 512, 4_096
-#: One of so many sample rows is kept from the tree, to calibrate it.
-HELD_OUT = 4
+#: One of so many sample rows is kept from the tree, to calibrate it, which takes so many of these at least.
+HELD_OUT, LEAST_HELD = 4, 256
 
 
 class Tree:
@@ -108,9 +108,9 @@ def calibrated_visits(tree: Tree, held: np.ndarray, k: int, recall: float, tries
     """Leaves to visit so that the k nearest of held-out points among themselves are found to ``recall``.
 
     Visits are widened leaf by leaf; the number returned is where the share found reaches the target. The tree wasn't
-    fitted on these points, as it isn't on most rows.
+    fitted on these points, as it isn't on most rows. A share of the ranks of few points is chance: all leaves are visited then.
     """
-    if len(held) < 2:
+    if len(held) < LEAST_HELD:
         return tree.n_leaves
     picked = np.linspace(0, len(held) - 1, min(tries, len(held))).astype(int)
     near = held[picked] @ held.T
@@ -142,10 +142,15 @@ def _matrix(column, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """The sum of each row, from left to right: the same wherever the row lies, and in other engines."""
+    return np.add.accumulate(rows, axis=1)[:, -1]
+
+
 def _best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, k: int, visits: list[tuple[slice, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest vectors of a cell for each of its queries: (query, vec_id, cosine). ``visits`` are the rows of each leaf, and the queries (in order) that visit it."""
     out: list[tuple] = []
-    units, norms = unit(vectors), np.sqrt((vectors * vectors).sum(axis=1))
+    units, norms = unit(vectors), np.sqrt(_sums(vectors * vectors))
     for at in range(0, len(queries), BLOCK):
         q, ids = queries[at : at + BLOCK], query_ids[at : at + BLOCK]
         near, asking = np.full((len(q), len(vectors)), -np.inf), unit(q)
@@ -157,10 +162,10 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vec_i
         # All that come as near, up to rounding; the exact measure below decides among them.
         row, col = np.nonzero((near >= edge[:, None] - 1e-9) & (near > -np.inf))
         score = np.empty(len(row))
-        q_norms = np.sqrt((q * q).sum(axis=1))
+        q_norms = np.sqrt(_sums(q * q))
         for i in range(0, len(row), 65_536):
             r, c = row[i : i + 65_536], col[i : i + 65_536]
-            score[i : i + 65_536] = (q[r] * vectors[c]).sum(axis=1) / (q_norms[r] * norms[c])
+            score[i : i + 65_536] = _sums(q[r] * vectors[c]) / (q_norms[r] * norms[c])
         order = np.lexsort((vec_ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
         first = np.searchsorted(row, row)

@@ -178,4 +178,17 @@ OP9_SQL = _spans_sql(
     "k, s",
 )
 
-ORACLE_SQL = {"op4_near_duplicates": OP4_SQL, "op5_mix": OP5_SQL, "op7_secrets": OP7_SQL, "op8_warc": OP8_SQL, "op9_pii": OP9_SQL}
+# All nearest, which the tree finds in tables too small for it to be calibrated (1,024 vectors), sf0.01's among them.
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normed AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) / (q.norm * c.norm) AS score
+  FROM normed q JOIN normed c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores
+QUALIFY rank <= 5
+"""
+
+ORACLE_SQL = {"op3_ann": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix": OP5_SQL, "op7_secrets": OP7_SQL, "op8_warc": OP8_SQL, "op9_pii": OP9_SQL}
