@@ -117,7 +117,8 @@ def test_bounds_hold():
             assert np.bitwise_count(x ^ y).sum() <= d
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(200)]
     root = {x: x for e in edges for x in e}
