@@ -188,7 +188,8 @@ def scan(spark: SparkSession, root: str, metadata: str = "full", on_error: str =
     if metadata not in ("full", "kinds") or on_error not in ("fail", "skip"):
         raise ValueError("metadata is full or kinds; on_error is fail or skip")
     full, fail, at = metadata == "full", on_error == "fail", os.fsencode(root)
-    starts = spark.createDataFrame(_frontier(at, keep, tasks), "path string, deep boolean")
+    found = _frontier(at, keep, tasks)
+    starts = spark.createDataFrame(found, "path string, deep boolean")
     rows = spark.createDataFrame([], FIELDS)
     arrow = to_arrow_schema(rows.schema)
 
@@ -208,7 +209,7 @@ def scan(spark: SparkSession, root: str, metadata: str = "full", on_error: str =
                         held.clear()
         yield flush()
 
-    out = staged(starts.repartition(tasks).mapInArrow(run, rows.schema), "scan")
+    out = staged(starts.repartition(min(tasks, len(found))).mapInArrow(run, rows.schema), "scan")
     bad = out.filter(F.col("reason").isin(*ERRORS))
     if fail and (first := bad.agg(F.min_by("message", F.split("path", "/")).alias("m")).first().m) is not None:
         raise WalkError(first)

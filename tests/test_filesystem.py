@@ -144,12 +144,11 @@ def test_the_driver_visits_few_directories(tmp_path, monkeypatch):
     assert len(seen) <= 20 and {d for d, deep in starts if deep} == {f"flat/x{i}" for i in range(300)} | {"chain/c0"}
 
 
-def test_deep_and_wide(spark, tmp_path):
-    deep = tmp_path.joinpath("deep", *[f"d{i}" for i in range(150)])
-    deep.mkdir(parents=True)
-    for i in range(200):
-        (tmp_path / f"wide/w{i:03}").mkdir(parents=True)
-        (tmp_path / f"wide/w{i:03}/file").touch()
+def test_a_long_tunnel_and_a_plain(spark, tmp_path):
+    tmp_path.joinpath("tunnel", *[f"t{i}" for i in range(130)]).mkdir(parents=True)
+    for i in range(170):
+        (tmp_path / f"plain/{i * 37 % 1000}").mkdir(parents=True)
+        (tmp_path / f"plain/{i * 37 % 1000}/stone").touch()
     want = sum(len(d) + len(f) for _, d, f in os.walk(tmp_path))
     assert fs.scan(spark, str(tmp_path), tasks=16)[0].count() == want
 
