@@ -44,7 +44,7 @@ class Progress(Protocol):
 @contextmanager
 def cancellable(spark: SparkSession, cancel: threading.Event | None) -> Iterator[Callable[[], None]]:
     """Jobs started within are interrupted once ``cancel`` is set, and end in Cancelled. Gives a function that looks at it."""
-    tag, done = f"sylva-{uuid.uuid4().hex}", threading.Event()
+    tag, done, context = f"sylva-{uuid.uuid4().hex}", threading.Event(), spark.sparkContext
 
     def look() -> None:
         if cancel is not None and cancel.is_set():
@@ -53,10 +53,10 @@ def cancellable(spark: SparkSession, cancel: threading.Event | None) -> Iterator
     def watch() -> None:
         while not done.wait(0.05):
             if cancel.is_set():
-                spark.interruptTag(tag)
+                context.cancelJobsWithTag(tag)
 
     look()
-    spark.addTag(tag)
+    context.addJobTag(tag)
     watcher = threading.Thread(target=watch, daemon=True) if cancel is not None else None
     if watcher:
         watcher.start()
@@ -70,7 +70,7 @@ def cancellable(spark: SparkSession, cancel: threading.Event | None) -> Iterator
         raise
     finally:
         done.set()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
         if watcher:
             watcher.join()
 
