@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylva.llm.common import Stages
+from sylva.llm.common import Stages, hash_sample
 
 #: Rows that the tree is fitted on at most. Every row is indexed.
 SAMPLE_ROWS = 20_000
@@ -130,9 +130,10 @@ def calibrated_visits(tree: Tree, held: np.ndarray, k: int, recall: float, tries
     return int(np.quantile(ranks, recall, method="higher"))
 
 
-def usable(vector: str, dimension: int):
-    """Vectors of the dimension that aren't zero and have finite components only."""
+def usable(vector: str, dimension: int | None = None):
+    """Vectors of the dimension, if it is given, that aren't zero and have finite components only."""
     v = F.col(vector)
+    dimension = F.size(v) if dimension is None else dimension
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.isNotNull() & (F.size(v) == dimension) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
@@ -203,15 +204,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    # The sample is the smallest hashes: the same in every run.
     pool = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).filter("vec_id is not null")
-    sizes = pool.filter("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    ids = F.approx_count_distinct(F.when(usable("embedding"), F.col("vec_id")))
+    sizes = pool.filter("embedding is not null").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("count"), ids.alias("ids")).orderBy(F.desc("count"), "d").first()
     if sizes is None or sizes.d == 0:
         return spark.createDataFrame([], schema)
     dimension = sizes.d
     pool = pool.filter(usable("embedding", dimension))
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(pool.schema["embedding"].dataType).alias("embedding")).filter("vec_id is not null").filter(usable("embedding", dimension)).dropDuplicates()
-    sample = pool.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
+    sample = hash_sample(pool, "vec_id", sample_rows, sizes.ids).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
     points = unit(_matrix(sample["embedding"], dimension))

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from sylva.operators.staging import new_folder, shared_dir, staged
 
-__all__ = ["Stages", "WORD", "WORDS", "arrow_rows", "exists", "n_words", "join_each", "new_folder", "shared_dir", "staged"]
+__all__ = ["Stages", "WORD", "WORDS", "arrow_rows", "exists", "hash_sample", "n_words", "join_each", "new_folder", "shared_dir", "staged"]
 
 #: What the contracts call a word, in Java's, RE2's and Python's syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 #: Rows from which a key counts as hot, and the tasks that its rows are dealt to.
 HOT, SALTS = 1_024, 16
+#: How many times the rows of a sample are sorted to find it, about.
+SORTED = 4
 
 
 class Stages:
@@ -54,6 +56,18 @@ def join_each(rows: DataFrame, each: DataFrame, key: str, by: str, stages: Stage
     return rows.join(each, [key, "_salt"], how).drop("_salt")
 
 
+def hash_sample(rows: DataFrame, by: str, most: int, distinct: int, seed: int | None = None) -> DataFrame:
+    """The ``most`` rows of the smallest hashes of the column ``by``, ties by its value: the same in every run.
+
+    ``by`` has ``distinct`` values, about. Only rows under a hash that some ``SORTED`` times as many values lie below are sorted,
+    so that the one task that ends the sort gets that many, whatever the size of the table; that under ``most`` of them
+    lie there doesn't happen, by chance or by an estimate that is a few percent off."""
+    hashed = F.xxhash64(by) if seed is None else F.xxhash64(F.col(by), F.lit(seed))
+    if SORTED * most < distinct:
+        rows = rows.filter(hashed < F.lit((SORTED * most << 64) // distinct - (1 << 63)))
+    return rows.orderBy(hashed, by).limit(most)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """Jobs within send Python so many rows at a time at most: long texts and sets fill a batch soon."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylva.llm.common import Stages
+from sylva.llm.common import Stages, hash_sample
 
 #: Words and single marks.
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -155,10 +155,12 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled
     didn't see. Keys that tie with the last all stay, so do rows that repeat a doc_id and a text together.
 
     Texts are read twice: for the models, and for the keys. Null and empty texts weigh 0. Without good or without bad
-    labels nothing is known, and all stay.
+    labels nothing is known, and all stay. A document with labels of both kinds is bad; of rows that repeat a labelled doc_id
+    the smallest log weight counts for the threshold.
     """
-    known = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
-    known = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(labelled_rows).collect()
+    known = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    n_known = known.agg(F.approx_count_distinct("doc_id")).first()[0]
+    known = hash_sample(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", labelled_rows, n_known, seed).collect()
     train = frozenset(r.doc_id for r in known[::2] if r.quality == 1)
     held = {r.doc_id: r.quality for r in known[1::2]}
     stages = Stages(docs.sparkSession, "quality")
@@ -170,7 +172,7 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled
     scored = stages.write(scored, "scored")
     if k is None and train:
         tried = docs.sparkSession.createDataFrame(list(held.items()), "doc_id long, quality int")
-        found = scored.join(F.broadcast(tried), "doc_id").select("doc_id", "log_weight", "quality").dropDuplicates(["doc_id"]).collect()
+        found = scored.join(F.broadcast(tried), "doc_id").groupBy("doc_id", "quality").agg(F.min("log_weight").alias("log_weight")).collect()
         cut = calibrated([(r.log_weight, r.quality) for r in found])
         k = scored.filter(F.col("log_weight") >= cut).count() if cut > float("-inf") else None
     if k is not None:
