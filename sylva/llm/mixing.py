@@ -18,6 +18,8 @@ from sylva.llm.common import n_words, staged
 #: Hash bits by which each level tells documents apart; the last is the whole hash.
 LEVELS = (12, 24, 60)
 HASH_BITS = 60
+#: Sources that are sorted together, about.
+RANGE_ROWS = 1 << 18
 
 
 def document_hash(doc_id: Column) -> Column:
@@ -25,39 +27,46 @@ def document_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def running_sums(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """The rows, with the sums over all rows before each in an order that tells every row apart.
+
+    Ranges of some ``RANGE_ROWS`` rows are sorted by themselves; one task adds up a row for each range."""
+    ranges = 1 + rows.count() // RANGE_ROWS
+    placed = staged(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    upto = (Window.unboundedPreceding, -1)
+    each = placed.groupBy("_range").agg(*[F.sum(x).alias(name) for name, x in sums.items()])
+    over = Window.orderBy("_range").rowsBetween(*upto)
+    each = each.select(F.col("_range"), *[F.coalesce(F.sum(name).over(over), F.lit(0)).alias(f"_{name}") for name in sums])
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(*upto)
+    inside = {name: F.coalesce(F.sum(x).over(own), F.lit(0)) + F.col(f"_{name}") for name, x in sums.items()}
+    return placed.join(F.broadcast(each), "_range").withColumns(inside).drop("_range", *[f"_{name}" for name in sums])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int) -> DataFrame:
     """Per source: its words, its target and the whole copies and rest that reach it.
 
     ``share`` is the fraction of all words to take (3, 2 is 150 %). Targets follow the weights
     and stop at ``most`` times the source's words; the rest is shared again by weight among
     those below, which ends where one level fits all of them. In the order of cap by weight
-    that level is found with running sums, in whole numbers. There is one row per source here.
+    that level is found with running sums, in whole numbers. There is one row per source here, and sources are
+    sorted in ranges, so that no task gets all of very many, as where each host is one.
     """
     num, den = share
     exact = "decimal(38,0)"
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_level = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("rank"))
-    upto = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
     cycle = F.array(*[F.lit(w) for w in weights])
-    out = (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("rank", F.row_number().over(by_name) - 1)
-        .withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
-        .withColumn("cap", F.col("source_size") * most)
-        .withColumn("all", F.sum("source_size").over(everything))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(upto), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0)))
-    )
+    by_source = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    out = running_sums(by_source, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    out = out.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * most)
+    words, weight = (x or 0 for x in out.agg(F.sum("source_size"), F.sum("weight")).first())
+    by_level = [(F.col("cap") / F.col("weight")).asc(), F.col("rank").asc()]
+    out = running_sums(out, by_level, {"capped": F.col("cap"), "passed": F.col("weight")})
     # What is left for this source and all after it, times den.
-    left = F.col("all") * num - F.col("capped") * den
-    fits = left.cast(exact) * F.col("weight") <= F.col("cap").cast(exact) * den * F.col("left_weight")
-    out = out.withColumn("left", left).withColumn("fits", fits)
-    out = out.withColumn("level", F.min_by(F.struct("left", "left_weight"), F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("rank")))).over(everything))
-    shared = F.col("level.left") * F.col("weight") / (F.col("level.left_weight") * den)
+    out = out.withColumn("left", F.lit(words * num) - F.col("capped") * den).withColumn("left_weight", F.lit(weight) - F.col("passed"))
+    fits = F.col("left").cast(exact) * F.col("weight") <= F.col("cap").cast(exact) * den * F.col("left_weight")
+    level = out.filter(fits).agg(F.min_by(F.struct("left", "left_weight"), F.struct(F.col("cap") / F.col("weight"), F.col("rank")))).first()[0]
+    cap = F.col("cap").cast("double")
     # Ties of the order lie on one level, so that the smaller of both holds for every source.
-    out = out.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(shared, F.col("cap").cast("double"))))
+    out = out.withColumn("target", F.least(cap, F.lit(level[0]) * F.col("weight") / F.lit(level[1] * den)) if level else cap)
     words = F.floor("target").cast("long")
     base = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     base = F.when(base * F.col("source_size") > words, base - 1).otherwise(base)

@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from sylva.llm import mixing
 from sylva.llm.mixing import mix_plan, mixed
 
 
@@ -46,6 +49,33 @@ def test_targets_and_sums(documents, seed):
     assert all(0 <= g["taken"] <= 2 * g["size"] for g in got)
 
 
+def test_many_sources_in_ranges(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    r = random.Random(9)
+    rows = [(i, "w " * r.choice([0, 1, 3, 40]), "en", None if i % 150 == 0 else f"{r.randint(0, 120):x}") for i in range(500)]
+    got = plan(documents(rows))
+    sizes: dict = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = targets(sizes)
+    assert len(sizes) > 100 and all(abs(g["target"] - want[g["source"]]) < 1e-6 * max(1, want[g["source"]]) for g in got)
+    taken: dict = {}
+    for g in got:
+        taken[g["source"]] = taken.get(g["source"], 0) + g["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    monkeypatch.undo()
+    key = lambda g: g["doc_id"]
+    assert sorted(got, key=key) == sorted(plan(documents(rows)), key=key)
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
+    got = {r.x: (r.n, r.s) for r in mixing.running_sums(rows, [F.col("x").desc()], {"n": F.lit(1), "s": F.col("x")}).collect()}
+    assert got == {x: (999 - x, sum(range(x + 1, 1000))) for x in range(1000)}
+    assert mixing.running_sums(rows.limit(0), [F.col("x").asc()], {"n": F.lit(1)}).collect() == []
+
+
 def test_reruns_and_order_dont_matter(documents):
     rows = [(i, "a b " * (i % 9), "en", f"s{i % 4}") for i in range(200)]
     a = sorted(map(str, plan(documents(rows))))
